@@ -19,5 +19,42 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mix_sources": op1_mix_sources}
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snapforge.llm.quality import judged
+
+    return judged(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snapforge.llm.media import media_digests
+
+    return media_digests(_read(spark, sf_dir, "documents"))
+
+
+def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snapforge.llm.packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snapforge.llm.token_counts import length_histogram, suffix_sums
+
+    return suffix_sums(length_histogram(_read(spark, sf_dir, "documents")))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snapforge.llm.toxicity import scored
+
+    return scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_media_columns": op4_media_columns,
+    "op8_pack_sequences": op8_pack_sequences,
+    "op9_token_counts": op9_token_counts,
+    "op10_toxicity": op10_toxicity,
+}
 SQL: dict[str, str] = {"op1_mix_sources": sql.MIX}
