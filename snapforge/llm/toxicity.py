@@ -9,6 +9,7 @@ every document, whole.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,14 @@ from pyspark.sql import functions as F
 from snapforge.llm.common import texts
 
 #: Hashed terms.
-SPACE = 1 << 18
+SPACE = 1 << 20
 #: Labelled rows that a model is fitted on, at most: those with the least hash of their id.
 MAX_ROWS = 20_000
 #: Terms that a model has, at most: those that labels differ most on.
 MAX_TERMS = 512
 RANK = 4
+#: Characters of the runs that a word is also known by: they carry over to inflected and compound words.
+GRAM = 4
 #: Standard errors that a term's share must differ by between the labels.
 LEAST_Z = 3.0
 #: Stripped from both ends of a word.
@@ -32,23 +35,35 @@ MARKS = b".,;:!?\"'()[]{}<>|#*$%&@~^_=+-/\\`"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-class Slots(dict):
-    """Where a word is hashed to; -1 for one of marks only. Kept by each worker, up to a million words."""
+def slots_of(word: bytes) -> tuple[int, ...]:
+    """Where a word's terms are hashed to: itself and its runs of GRAM characters, without the marks around it."""
+    term = word.strip(MARKS)
+    if not term:
+        return ()
+    letters = term.decode("utf-8", "surrogatepass")
+    grams = {letters[i : i + GRAM] for i in range(len(letters) - GRAM + 1)} if len(letters) > GRAM else ()
+    return tuple({xxhash.xxh3_64_intdigest(x) % SPACE for x in (b"=" + term, *(g.encode("utf-8", "surrogatepass") for g in grams))})
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        term = word.strip(MARKS)
-        slot = self[word] = xxhash.xxh3_64_intdigest(term) % SPACE if term else -1
-        return slot
 
+class Slots(dict):
+    """slots_of() for words met before, up to 200,000 of them; with a model, its own terms' places only."""
 
-_slots = Slots()
+    def __init__(self, known: np.ndarray | None = None):
+        self.known = None if known is None else {int(s): i for i, s in enumerate(known)}
 
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= 200_000:
+            self.clear()
+        found = slots_of(word)
+        self[word] = found = found if self.known is None else tuple(self.known[s] for s in found if s in self.known)
+        return found
 
-def terms(text: str) -> list[int]:
-    """The distinct slots of a text's terms."""
-    return sorted({_slots[w] for w in set(text.encode("utf-8", "surrogatepass").translate(LOWER).split())} - {-1})
+    def terms(self, text: str) -> list[int]:
+        """The distinct terms of a text, ascending."""
+        out: set[int] = set()
+        for word in set(text.encode("utf-8", "surrogatepass").translate(LOWER).split()):
+            out.update(self[word])
+        return sorted(out)
 
 
 @dataclass(frozen=True)
@@ -59,12 +74,11 @@ class Model:
     factors: np.ndarray  # a row for each slot
 
     def scores(self, rows: list[list[int]]) -> np.ndarray:
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        """Scores of texts by the places of their terms among the model's slots."""
+        of = np.repeat(np.arange(len(rows)), np.fromiter(map(len, rows), np.int64, len(rows)))
         out = np.full(len(rows), self.bias)
-        if sizes.sum() and len(self.slots):
-            flat = np.concatenate([np.asarray(r, np.int64) for r in rows])
-            at = np.minimum(np.searchsorted(self.slots, flat), len(self.slots) - 1)
-            of, at = np.repeat(np.arange(len(rows)), sizes)[known := self.slots[at] == flat], at[known]
+        if len(of):
+            at = np.fromiter(chain.from_iterable(rows), np.int64, len(of))
             sums = lambda x: np.stack([np.bincount(of, x[:, k], len(rows)) for k in range(x.shape[1])], axis=1)
             v = self.factors[at]
             out += np.bincount(of, self.linear[at], len(rows)) + 0.5 * (sums(v) ** 2 - sums(v**2)).sum(axis=1)
@@ -131,6 +145,7 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, label: str = "toxic", max
 
     @F.arrow_udf("array<int>")
     def slots(column: pa.Array) -> pa.Array:
+        terms = Slots().terms
         return pa.array([terms(x) for x in texts(column)], pa.list_(pa.int32()))
 
     rows = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "y", slots(F.col("text")).alias("t")).toArrow().sort_by("doc_id")
@@ -144,9 +159,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
 
 def score(text: Column, model: Model) -> Column:
     """Toxicity from 0 to 1. Null and empty texts get the score of the bias. The model has MAX_TERMS terms at most, so it is small to ship."""
+    held: dict = {}  # a task's words met before
 
     @F.arrow_udf("double")
     def _score(column: pa.Array) -> pa.Array:
+        terms = held.setdefault("slots", Slots(model.slots)).terms
         return pa.array(model.scores([terms(x) for x in texts(column)]), pa.float64())
 
     return _score(text)
