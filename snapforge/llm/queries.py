@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from snapforge.llm import sql
 
@@ -49,12 +50,34 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+#: The conversation that op6 adds, by its contract.
+ADDED = ((-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"))
+#: The rules that op7 judges by, by its contract.
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snapforge.llm.chat import digests, formatted
+
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(c).cast(turns.schema["conv_id"].dataType).alias("conv_id"), F.lit(t).cast(turns.schema["turn"].dataType).alias("turn"), F.lit(r).alias("role"), F.lit(x).alias("text")) for c, t, r, x in ADDED])))
+    return digests(formatted(turns.unionByName(added)))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snapforge.llm.url_filter import judged
+
+    return judged(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_quality_rules": op3_quality_rules,
     "op4_media_columns": op4_media_columns,
+    "op6_chat_format": op6_chat_format,
+    "op7_url_filter": op7_url_filter,
     "op8_pack_sequences": op8_pack_sequences,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
 }
-SQL: dict[str, str] = {"op1_mix_sources": sql.MIX}
+SQL: dict[str, str] = {"op1_mix_sources": sql.MIX, "op6_chat_format": sql.CHAT, "op7_url_filter": sql.URLS}

@@ -17,3 +17,30 @@ x AS (SELECT d.*, r.source_size, r.target, r.passes, round(r.target)::BIGINT - r
       FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(size, rest)))::BIGINT AS taken FROM x
 """
+
+CHAT = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
+             length(regexp_replace(role, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')) AS role_chars,
+             length(regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')) AS text_chars FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (sum(text_chars + CASE WHEN before = role THEN 8 WHEN before IS NULL THEN 16 + role_chars ELSE 23 + role_chars END) + 7)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+URLS = r"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(verdict, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+b(domain) AS (SELECT n || '.example.' || t FROM (VALUES ('adult-x'), ('ads-track'), ('casino-win'), ('cheap-pills'), ('free-bets'), ('spam-farm')) x(n), (VALUES ('com'), ('net'), ('org')) y(t)),
+f AS (SELECT h.*, (SELECT max_by(struct_pack(rule := rhost || rpath, verdict := verdict), length(rhost || rpath)) FROM r
+                   WHERE (h.host = rhost OR h.host LIKE '%.' || rhost) AND starts_with(h.path, rpath)) AS hit,
+             EXISTS (SELECT 1 FROM b WHERE h.host = domain OR h.host LIKE '%.' || domain) AS listed FROM h)
+SELECT page_id, host, path, hit.rule AS rule, coalesce(hit.verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict FROM f
+"""
