@@ -20,6 +20,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snapforge.llm.html_extract import extract
+
+    return extract(_read(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from snapforge.llm.quality import judged
 
@@ -72,6 +78,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_main_text": op2_main_text,
     "op3_quality_rules": op3_quality_rules,
     "op4_media_columns": op4_media_columns,
     "op6_chat_format": op6_chat_format,
