@@ -56,6 +56,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from snapforge.llm.neardup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 #: The conversation that op6 adds, by its contract.
 ADDED = ((-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"))
 #: The rules that op7 judges by, by its contract.
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_main_text": op2_main_text,
     "op3_quality_rules": op3_quality_rules,
     "op4_media_columns": op4_media_columns,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_chat_format": op6_chat_format,
     "op7_url_filter": op7_url_filter,
     "op8_pack_sequences": op8_pack_sequences,
