@@ -97,5 +97,7 @@ def mixed(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (3.0, 1.0, 2
     A document without words is never taken. Rows with one doc_id and one text are told apart by
     nothing, so each gets the copies that its own row was dealt.
     """
-    taken = mix(docs, weights, share, max_epochs, seed, whole_documents=True, keep=tuple(docs.columns))
-    return taken.where("copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    own = [F.col(names[docs.columns.index(c)]).alias(c) for c in ("doc_id", "text", "source")]
+    taken = mix(docs.toDF(*names).select("*", *own), weights, share, max_epochs, seed, whole_documents=True, keep=tuple(names))
+    return taken.where("copies > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names).toDF(*docs.columns)
