@@ -13,6 +13,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,11 +86,8 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(out, -40, 40)))
 
 
-def choose(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """The slots whose share differs most between the labels, ascending."""
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    of = np.repeat(labels, [len(r) for r in rows])
-    n1, n0 = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
+def choose(flat: np.ndarray, of: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """The slots whose share differs most between the labels, ascending. of: the label of each term's text."""
     has1, has0 = np.bincount(flat[of == 1], minlength=SPACE), np.bincount(flat[of == 0], minlength=SPACE)
     share = (has1 + has0) / (n1 + n0)
     z = np.abs(has1 / n1 - has0 / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
@@ -98,17 +96,22 @@ def choose(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return np.sort(best[z[best] >= LEAST_Z])
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int = 40, batch: int = 128, rate: float = 0.1, decay: float = 1e-4) -> Model:
-    """Adagrad on the logistic loss. Without rows of both labels the model is its bias: the labels' share, half a row added to each."""
+def fit(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, seed: int = 7, epochs: int = 40, batch: int = 128, rate: float = 0.1, decay: float = 1e-4) -> Model:
+    """Adagrad on the logistic loss. flat: the terms of all texts, one text after the other; sizes: how many each has.
+
+    Without rows of both labels the model is its bias: the labels' share, half a row added to each.
+    """
     n, n1 = len(labels), int((labels == 1).sum())
     bias = float(np.log((n1 + 0.5) / (n - n1 + 0.5)))
-    slots = choose(rows, labels) if 0 < n1 < n else np.zeros(0, np.int64)
+    slots = choose(flat, np.repeat(labels, sizes), n1, n - n1) if 0 < n1 < n else np.zeros(0, np.int64)
     if not len(slots):
         return Model(bias, slots, np.zeros(0), np.zeros((0, RANK)))
+    place = np.full(SPACE, -1, np.int16)
+    place[slots] = np.arange(len(slots))
+    at = place[flat]
+    known = at >= 0
     x = np.zeros((n, len(slots)), np.float32)
-    for i, r in enumerate(rows):
-        at = np.minimum(np.searchsorted(slots, r), len(slots) - 1)
-        x[i, at[slots[at] == r]] = 1
+    x[np.repeat(np.arange(n, dtype=np.int32), sizes)[known], at[known]] = 1
     y, rng = labels.astype(np.float32), np.random.default_rng(seed)
     w, v = np.zeros(len(slots), np.float32), rng.normal(0, 0.05, (len(slots), RANK)).astype(np.float32)
     gw, gv, gb, b = np.full_like(w, 1e-6), np.full_like(v, 1e-6), 1e-6, np.float32(bias)
@@ -136,8 +139,8 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def labelled_terms(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Term slots and labels of the training rows: labelled, fold not 0, at most about max_rows of them."""
+def labelled_terms(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Term slots, their numbers and labels of the training rows: labelled, fold not 0, at most about max_rows of them."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     n = known.count()
     if n > max_rows:
@@ -148,8 +151,10 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, label: str = "toxic", max
         terms = Slots().terms
         return pa.array([terms(x) for x in texts(column)], pa.list_(pa.int32()))
 
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "y", slots(F.col("text")).alias("t")).toArrow().sort_by("doc_id")
-    return [np.asarray(x, np.int64) for x in rows["t"].to_pylist()], rows["y"].to_numpy()
+    rows = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "y", slots(F.col("text")).alias("t"))
+    rows = rows.orderBy("doc_id", "y").toArrow()  # some 1,000 numbers of 4 bytes for each of max_rows
+    flat = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in rows["t"].chunks)])
+    return flat, pc.list_value_length(rows["t"]).to_numpy(), rows["y"].to_numpy()
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
