@@ -30,7 +30,7 @@ RANK = 4
 #: Characters of the runs that a word is also known by: they carry over to inflected and compound words.
 GRAM = 4
 #: Standard errors that a term's share must differ by between the labels.
-LEAST_Z = 3.0
+LEAST_Z = 5.0
 #: Stripped from both ends of a word.
 MARKS = b".,;:!?\"'()[]{}<>|#*$%&@~^_=+-/\\`"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
