@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapforge.llm.common import texts
+from snapforge.llm.common import checkpointed, texts
 from snapforge.llm.tokens import VOCABULARY, encoder
 
 #: Lengths are summed in blocks of so many, so that no task holds all distinct lengths.
@@ -37,6 +37,7 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
     An empty histogram gives no rows.
     """
+    histogram = checkpointed(histogram)  # texts are encoded once
     h = histogram.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.floor(F.col("length") / BLOCK).alias("_block"))
     sums = [F.sum("n_docs").alias("_d"), F.sum("n_tokens").alias("_t")]
     above = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)  # one row for 1,024 lengths
