@@ -218,7 +218,7 @@ class _Parser:
             n = int(value.rstrip("uU"), 0)
             if n >= 1 << (63 if kind == "int" else 64):
                 raise ConfigError(f"{value} is out of range")
-            return Term(F.lit(n).cast(_kind(kind)), kind, n)
+            return Term(F.lit(str(n)).cast(_kind(kind)), kind, n)
         if kind == "double":
             return Term(F.lit(float(value)), "double", float(value))
         if kind == "text":
@@ -274,7 +274,7 @@ def _kind(name: str) -> str:
 
 
 def _unsigned(column: Column) -> Column:
-    bad = (column < 0) | (column > F.lit((1 << 64) - 1).cast("decimal(20,0)"))
+    bad = (column < 0) | (column > F.lit(str((1 << 64) - 1)).cast("decimal(20,0)"))
     return F.when(bad, F.raise_error(F.lit("uint out of range")).cast("decimal(20,0)")).otherwise(column.cast("decimal(20,0)"))
 
 
