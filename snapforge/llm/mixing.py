@@ -10,8 +10,10 @@ one row per source finds it.
 Sampling: a source's target, in words, is so many whole passes over the source plus a rest. The rest
 goes to documents in a seeded order until it is used up. A running sum over a whole source would put
 a hot source in one task, so each source is dealt by hash over BUCKETS buckets: bucket sizes are
-pre-aggregated, their running sum is over at most BUCKETS rows, and only then documents are summed
-inside their bucket.
+pre-aggregated, their running sum is over at most BUCKETS rows, and only the documents of the bucket in
+which the rest ends are summed one by one. What comes of it is a row for each source: its passes, and
+the last document that the rest reaches. A document is judged by its source's row alone, so texts are
+never shuffled.
 """
 
 from __future__ import annotations
@@ -58,46 +60,80 @@ def water_fill(sizes: DataFrame, weights: DataFrame, share: float, max_epochs: f
     return x.select("source", "source_size", F.when(F.col("live"), F.least("cap", F.col("level") * F.col("weight"))).otherwise(F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, whole_documents: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """What the mix takes of each document: `keep`, size, source_size, target, taken, copies.
+#: Sources up to so many are shipped to all tasks as one table of some 100 bytes each; more are joined by shuffle.
+SHIPPED_SOURCES = 50_000
+
+
+def _dealt(docs: DataFrame, seed: int) -> DataFrame:
+    """docs with _size, _key (its place in the seeded order) and _b (its bucket)."""
+    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    rows = docs.withColumn("_size", n_words(F.col("text"))).withColumn("_u", seeded(id_text, seed))
+    key = F.struct(F.col("_u").alias("u"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_size").alias("size"))
+    return rows.withColumn("_key", key).withColumn("_b", F.floor(F.col("_u") * BUCKETS / 2**32).cast("int")).drop("_u")
+
+
+def plan_mix(docs: DataFrame, weights: DataFrame | tuple[float, ...], share: float, max_epochs: float, seed: int, whole_documents: bool) -> tuple[DataFrame, DataFrame]:
+    """The documents' (doc_id, source, _size, _key, _b), kept, and a row for each source: what the mix takes of it."""
+    dealt = checkpointed(_dealt(docs.select("doc_id", "text", "source"), seed).drop("text"))  # whole texts are read once
+    buckets = checkpointed(dealt.groupBy("source", "_b").agg(F.sum("_size").alias("_bsize")))
+    sizes = buckets.groupBy("source").agg(F.sum("_bsize").alias("source_size"))
+    goal = water_fill(sizes, cyclic_weights(sizes, weights) if isinstance(weights, tuple) else weights, share, max_epochs)
+    words = F.round("target").cast("long")
+    passes = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).cast("long")
+    goal = goal.withColumn("passes", passes).withColumn("rest", words - F.col("passes") * F.col("source_size"))
+    goal = checkpointed(goal.withColumnRenamed("source", "_s"))
+    rise = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = buckets.withColumn("_before", F.coalesce(F.sum("_bsize").over(rise), F.lit(0))).join(goal.select("_s", "rest"), F.col("source").eqNullSafe(F.col("_s")))
+    ends = ends.where((F.col("_before") < F.col("rest")) & (F.col("rest") <= F.col("_before") + F.col("_bsize"))).select(F.col("_s").alias("_es"), F.col("_b").alias("end_bucket"), (F.col("rest") - F.col("_before")).alias("_left"))
+    near = dealt.join(ends, F.col("source").eqNullSafe(F.col("_es")) & (F.col("_b") == F.col("end_bucket")) & (F.col("_size") > 0))
+    near = near.groupBy("_es", "end_bucket", "_left", "_key").agg(F.sum("_size").alias("_ties"), F.count("*").alias("_n"))
+    run = Window.partitionBy("_es").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("_left", F.col("_left") - F.coalesce(F.sum("_ties").over(run), F.lit(0)))
+    last = near.where(F.col("_left") < F.col("_ties")).groupBy("_es").agg(F.min(F.struct("_key", "_left", "_n")).alias("e"))
+    part = F.greatest(F.lit(0), F.floor(F.col("e._left") / F.col("e._n"))).cast("long")
+    if whole_documents:
+        part = F.when(2 * part >= F.col("e._key.size"), F.col("e._key.size")).otherwise(0).cast("long")
+    last = last.select(F.col("_es").alias("_ls"), F.col("e._key").alias("end_key"), part.alias("end_part"))
+    made = goal.join(ends.drop("_left"), F.col("_s").eqNullSafe(F.col("_es")), "left").drop("_es").join(last, F.col("_s").eqNullSafe(F.col("_ls")), "left").drop("_ls")
+    made = checkpointed(made)
+    return dealt, F.broadcast(made) if made.count() <= SHIPPED_SOURCES else made
+
+
+def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows of _dealt() with source_size, target, taken and copies."""
+    met = rows.join(plan, F.col("source").eqNullSafe(F.col("_s")))
+    end, key = F.col("end_bucket"), F.col("end_key")
+    here = F.when(key.isNull() | (F.col("_key") < key), F.col("_size")).when(F.col("_key") == key, F.col("end_part")).otherwise(0)
+    part = F.when(end.isNull() | (F.col("_b") > end), 0).when(F.col("_b") < end, F.col("_size")).otherwise(here).cast("long")
+    met = met.withColumn("_part", part)
+    copies = F.when(F.col("_size") > 0, F.col("passes") + (F.col("_part") > 0).cast("long")).otherwise(0).cast("long")
+    return met.withColumn("taken", (F.col("passes") * F.col("_size") + F.col("_part")).cast("long")).withColumn("copies", copies)
+
+
+def mix(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, whole_documents: bool = False) -> DataFrame:
+    """What the mix takes of each document: doc_id, source, size, source_size, target, taken, copies.
 
     weights: (source, weight) rows, or weights that go to the sources in turn. `taken` counts words,
     repeats included; it is at most ceil(max_epochs) times the size. The last document that a
     source's rest reaches is taken in part; with whole_documents it is taken or left, whichever is
     nearer. copies: passes over the document, a part of one included.
 
-    Null text: size 0. Null source: a source of its own, after the others. Repeated rows: each counts.
-    Null doc_id: ordered after others. Empty table: empty result. Size 0: taken 0, no copies.
-    Columns other than doc_id, text, source and `keep` are left out, so their names can't clash.
+    Null text: size 0. Null source: a source of its own, after the others. Repeated rows: each counts;
+    those that tie as the last share what is left evenly. Null doc_id: ordered after others. Empty
+    table: empty result. Size 0: taken 0, no copies. Columns other than doc_id, text and source are
+    left out, so their names can't clash.
     """
-    x = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col("doc_id").alias("_id"), F.col("source").alias("source"), n_words(F.col("text")).alias("size"), seeded(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), seed).alias("_u"))
-    x = checkpointed(x.withColumn("_b", F.floor(F.col("_u") * BUCKETS / 2**32).cast("int")))  # whole texts are read once
-    buckets = x.groupBy("source", "_b").agg(F.sum("size").alias("_bsize"))
-    sizes = buckets.groupBy("source").agg(F.sum("_bsize").alias("source_size"))
-    goal = water_fill(sizes, cyclic_weights(sizes, weights) if isinstance(weights, tuple) else weights, share, max_epochs)
-    passes = F.when(F.col("source_size") > 0, F.floor(F.round("target").cast("long") / F.col("source_size"))).otherwise(0).cast("long")
-    goal = goal.withColumn("_passes", passes).withColumn("_rest", F.round("target").cast("long") - F.col("_passes") * F.col("source_size"))
-    rise = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    b = buckets.withColumn("_before", F.coalesce(F.sum("_bsize").over(rise), F.lit(0)))
-    b = b.join(goal.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "_bsize").withColumnsRenamed({"source": "_s", "_b": "_sb"})
-    x = x.join(b, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_sb"))).drop("_s", "_sb")
-    run = Window.partitionBy("source", "_b").orderBy("_u", F.col("_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("_rest") - F.col("_before") - F.coalesce(F.sum("size").over(run), F.lit(0))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), left))
-    part = F.when(2 * part >= F.col("size"), F.col("size")).otherwise(0) if whole_documents else part
-    x = x.withColumn("_part", part.cast("long"))
-    taken = (F.col("_passes") * F.col("size") + F.col("_part")).cast("long")
-    copies = F.when(F.col("size") > 0, F.col("_passes") + (F.col("_part") > 0).cast("long")).otherwise(0)
-    return x.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("size"), "source_size", "target", taken.alias("taken"), copies.cast("long").alias("copies"))
+    dealt, plan = plan_mix(docs, weights, share, max_epochs, seed, whole_documents)
+    return _taken(dealt, plan).select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "taken", "copies")
 
 
 def mixed(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """The documents of the mix, columns as they came, each as often as the mix takes it (whole documents).
 
-    A document without words is never taken. Rows with one doc_id and one text are told apart by
-    nothing, so each gets the copies that its own row was dealt.
+    A document without words is never taken.
     """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     own = [F.col(names[docs.columns.index(c)]).alias(c) for c in ("doc_id", "text", "source")]
-    taken = mix(docs.toDF(*names).select("*", *own), weights, share, max_epochs, seed, whole_documents=True, keep=tuple(names))
-    return taken.where("copies > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names).toDF(*docs.columns)
+    _, plan = plan_mix(docs, weights, share, max_epochs, seed, True)
+    rows = _taken(_dealt(docs.toDF(*names).select("*", *own), seed), plan).where("copies > 0")
+    return rows.select(*names, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names).toDF(*docs.columns)

@@ -30,9 +30,8 @@ def docs(spark):
 def test_targets_and_taken(spark):
     rows = mixing.mix(docs(spark)).collect()
     sizes, targets, taken = defaultdict(int), {}, defaultdict(int)
-    by = {r["doc_id"]: s for r, s in zip(docs(spark).select("doc_id").collect(), docs(spark).select("source").collect(), strict=True)}
     for r in rows:
-        s = by[r["doc_id"]]["source"]
+        s = r["source"]
         assert 0 <= r["taken"] <= 2 * r["size"]
         sizes[s] += r["size"]
         targets[s] = r["target"]
@@ -55,7 +54,7 @@ def test_reruns_agree_and_whole_documents(spark):
 
 def test_weights_table_and_empty(spark):
     w = spark.createDataFrame([("hot", 1.0), ("b", 5.0)], "source string, weight double")
-    rows = mixing.mix(docs(spark), weights=w, share=0.05, max_epochs=3, keep=("doc_id", "source")).collect()
+    rows = mixing.mix(docs(spark), weights=w, share=0.05, max_epochs=3).collect()
     assert {r["source"]: r["target"] for r in rows}["d"] == 0
     assert mixing.mix(docs(spark).limit(0)).count() == 0
 
@@ -71,3 +70,15 @@ def test_sizes_match_the_pattern(spark):
     texts = ["", " ", "a", "\x1ca b\x85c", "x\ty\r\nz", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(mixing.n_words(F.col("text"))).collect()]
     assert got == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
+def test_many_sources_without_shipping(spark, monkeypatch):
+    want = sorted(map(str, mixing.mix(docs(spark)).collect()))
+    monkeypatch.setattr(mixing, "SHIPPED_SOURCES", 0)
+    assert sorted(map(str, mixing.mix(docs(spark)).collect())) == want
+
+
+def test_tied_rows_share(spark):
+    same = spark.createDataFrame([(7, "a b c d", "s")] * 4 + [(8, "x", "t")], "doc_id long, text string, source string")
+    rows = [r for r in mixing.mix(same, weights=(1.0,), share=0.5).collect() if r["doc_id"] == 7]
+    assert len({r["taken"] for r in rows}) == 1 and 0 < sum(r["taken"] for r in rows) <= rows[0]["target"]
