@@ -34,7 +34,9 @@ OPEN, CONTENT, CHROME = 0, 1, 2
 
 #: Elements and words of class or id that make a region chrome.
 CHROME_TAGS = frozenset("nav header footer aside form menu dialog button select datalist fieldset iframe object svg math canvas audio video map".split())
-CHROME_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+CHROME_WORDS = frozenset("ad ads adbanner adbox adsbygoogle adslot adunit advert adverts advertisement advertising alert alerts announcement aside banner breadcrumb breadcrumbs colophon comment commentlist comments consent cookie cookies copyright disclaimer discussion disqus footer gdpr header legal login masthead menu menubar modal nav navbar navigation navlinks newsletter notice notices pager pagination paywall popup privacy promo promoted promotion rail related replies reply respond responses search share sharing sidebar sidenav signup social sponsor sponsored subnav submenu subscribe toast toolbar topbar topnav widget widgets".split())
+#: First words of names that say what a page has or lacks, such as has-sidebar.
+ABOUT = frozenset("has have is no non not show with without".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 #: Elements whose content is never text of the page.
@@ -70,8 +72,10 @@ def region(tag: str, attributes: str) -> int | None:
                 found = CONTENT
         elif name == "hidden":
             return CHROME
-        elif tag not in CONTENT_TAGS and tag not in ("html", "body") and CHROME_WORDS & set(WORD_PART.findall(value)):
-            return CHROME
+        elif tag not in CONTENT_TAGS and tag not in ("html", "body"):
+            for parts in map(WORD_PART.findall, value.split()):
+                if parts and parts[0] not in ABOUT and parts[-1] != "free" and CHROME_WORDS & set(parts):
+                    return CHROME
     return CONTENT if tag in CONTENT_TAGS else found
 
 

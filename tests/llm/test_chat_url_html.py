@@ -86,6 +86,7 @@ def test_any_markup_is_read(page):
         ("<nav>m</nav><main>x<div class='ad-box'>y<div>z</div></div> w<section id=comments><p>no</section></main>", "x w"),
         ('<script>"<article>no</article>"</script><article>yes<form>no</form><style>no</style></article>', "yes"),
         ("<article>a<aside>b<p>c</aside><p hidden>d<p>e<!-- f --></article>", "a e"),
+        ("<div class='page has-sidebar'><p>text</p><div class='sidebar-left'>no</div><ol class=commentlist><li>no</ol></div>", "text"),
         ("", ""), ("<nav>only</nav>", ""), ("<p>no article", "no article"), ("<article>cut &lt;tag <b", "cut <tag"),
     ],
 )
