@@ -9,9 +9,12 @@ From keys to groups of copies, without ever listing the pairs of a bucket:
 - documents with one shingle set are one class; classes are counted, hashed and compared once;
 - in every bucket each class is compared with the bucket's hub, the class of least hash; a hub differs
   from table to table, so large groups of copies grow together at once;
-- buckets that then still hold classes of different components are compared with more and more hubs,
-  8, 64, 512 and so on, in the end with all their classes: only pairs across components, each once.
-Candidates are confirmed on full sets, rebuilt from the texts. Components are joined by least labels
+- buckets that then still hold classes of different components are compared with all their classes, or
+  if that is much, with 32 hubs first, then 1,024 and so on: only pairs across components, each once.
+Pairs that a bitmap filter can't rule out are confirmed on full sets, rebuilt from the texts. The
+bitmap has a bit for each hash slot, set if an odd number of the set's shingles fall there; as each
+shingle that only one of two sets has flips one bit, the bits that differ are a lower bound of their
+difference, and no link is lost. Components are joined by least labels
 with pointer jumping. Every step is a join or an aggregation; loops end on counts, and the driver
 gets no document, link or component.
 """
@@ -25,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapforge.llm.common import checkpointed, plain, starts
@@ -33,6 +36,10 @@ from snapforge.llm.common import checkpointed, plain, starts
 GROUP = 2
 MISS = 1e-4
 SEED = 20240229
+#: Longs of a bitmap.
+BITMAP = 8
+#: Bitmaps are compared for all pairs of the open buckets at once if these are no more than so many, or so many for each row.
+AT_ONCE, AT_ONCE_EACH = 200_000_000, 1000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,10 +54,10 @@ def n_groups(percent: int) -> int:
 
 
 class Words(dict):
-    """64-bit hashes of words met before, up to 500,000 of them."""
+    """64-bit hashes of words met before, up to 100,000 of them."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -88,10 +95,25 @@ def group_keys(sets: list[np.ndarray], groups: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """(documents, BITMAP): parities of how many shingles fall in each of 64 * BITMAP slots."""
+    of = np.repeat(np.arange(len(sets)), np.fromiter(map(len, sets), np.int64, len(sets)))
+    slots = (np.concatenate(sets) % np.uint64(64 * BITMAP)).astype(np.int64)
+    odd = np.bincount(of * 64 * BITMAP + slots, minlength=len(sets) * 64 * BITMAP).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(len(sets), -1), axis=1).view(np.int64)
+
+
+def may_link(n: Column | str, bits: list[str], other_n: Column | str, other_bits: list[str], percent: int) -> Column:
+    """False only where 100 * common < percent * all for sure, by the sets' sizes and bitmaps."""
+    n, other_n = (F.col(x) if isinstance(x, str) else x for x in (n, other_n))
+    apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(bits, other_bits, strict=True)), F.lit(0))
+    return (100 * F.least(n, other_n) >= percent * F.greatest(n, other_n)) & ((100 + percent) * apart <= (100 - percent) * (n + other_n))
+
+
 def fingerprints(docs: DataFrame, size: int, groups: int) -> DataFrame:
-    """doc_id, crc (of the text), n_shingles, node (a digest of the set; null if it is empty) and g0, g1, ..."""
+    """doc_id, crc (of the text), n_shingles, node (a digest of the set; null if it is empty), g0, g1, ... and the bitmap b0, b1, ..."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = [f"g{i}" for i in range(groups)]
+    names = [*(f"g{i}" for i in range(groups)), *(f"b{i}" for i in range(BITMAP))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,12 +121,13 @@ def fingerprints(docs: DataFrame, size: int, groups: int) -> DataFrame:
                 text = [x or "" for x in plain(part, "text").to_pylist()]
                 sets = [shingles(x, size) for x in text]
                 some = np.fromiter((len(s) > 0 for s in sets), bool, len(sets))
-                keys = np.zeros((len(sets), groups), np.int64)
+                keys = np.zeros((len(sets), len(names)), np.int64)
                 if some.any():
-                    keys[some] = group_keys([s for s in sets if len(s)], groups)
+                    full = [s for s in sets if len(s)]
+                    keys[some] = np.hstack([group_keys(full, groups), bitmaps(full)])
                 node = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 crc = [zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in text]
-                yield pa.RecordBatch.from_arrays([plain(part, "doc_id"), pa.array(crc, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), *(pa.array(np.ascontiguousarray(keys[:, i])) for i in range(groups))], names=["doc_id", "crc", "n_shingles", "node", *names])
+                yield pa.RecordBatch.from_arrays([plain(part, "doc_id"), pa.array(crc, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), *(pa.array(np.ascontiguousarray(x)) for x in keys.T)], names=["doc_id", "crc", "n_shingles", "node", *names])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, crc bigint, n_shingles bigint, node binary, " + ", ".join(f"{x} bigint" for x in names))
 
@@ -163,10 +186,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     component of null ids only has a null id. Repeated rows stay, each with its component. Columns
     other than doc_id and text are left out. Empty table: empty result.
     """
-    groups = n_groups(percent)
+    groups, bits = n_groups(percent), [f"b{i}" for i in range(BITMAP)]
     prints = checkpointed(fingerprints(docs, size, groups))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "crc")
-    classes = prints.where("node IS NOT NULL").groupBy("node").agg(F.min(first).alias("rep"), F.first("n_shingles").alias("n"), *[F.first(f"g{i}").alias(f"g{i}") for i in range(groups)])
+    classes = prints.where("node IS NOT NULL").groupBy("node").agg(F.min(first).alias("rep"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in [*(f"g{i}" for i in range(groups)), *bits]])
     classes = checkpointed(classes)
     tables = [(i, j) for i in range(groups) for j in range(i + 1, groups)]
     keys = F.explode(F.array(*[F.xxhash64(F.lit(t), f"g{i}", f"g{j}") for t, (i, j) in enumerate(tables)]))
@@ -174,47 +197,51 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     shared = rows.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.count("*").alias("n_classes")).where("x <> y").select(F.col("key").alias("_key"), "n_classes")
     members = checkpointed(rows.join(shared, F.col("key") == F.col("_key")).select("key", "node", "n", "n_classes"))
     own = F.struct(F.col("rep.no_id").alias("no_id"), F.col("rep.doc_id").alias("doc_id"), F.col("node").alias("node"))
-    among = classes.join(members.select(F.col("node").alias("_n")).distinct(), F.col("node") == F.col("_n")).select("node", "rep", own.alias("label"))
+    among = classes.join(members.select(F.col("node").alias("_n")).distinct(), F.col("node") == F.col("_n")).select("node", "rep", "n", own.alias("label"), *bits)
     among = checkpointed(among)
 
     @F.arrow_udf("binary")
     def packed(text: pa.Array) -> pa.Array:
         pack = zstandard.ZstdCompressor(level=1).compress
-        return pa.array([pack((x or "").encode("utf-8", "surrogatepass")) for x in text.to_pylist()], pa.binary())
+        return pa.array([pack((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in text], pa.binary())  # one text at a time
 
     source = docs.select(F.col("doc_id").alias("_id"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_crc"), packed(F.col("text")).alias("packed"))
     texts = among.join(source, F.col("rep.doc_id").eqNullSafe(F.col("_id")) & (F.col("rep.crc") == F.col("_crc"))).groupBy("node").agg(F.first("packed").alias("packed"))
     texts = checkpointed(texts)
 
-    labels, hubs, done, links = among.select("node", "label"), 0, None, None
-    rank = F.xxhash64("node", "key")
+    labels, hubs, before, done, links = among.select("node", "label"), 0, 1, None, None
+    other = [f"_{c}" for c in bits]
     while True:
         if not hubs:
-            hub = members.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "node", "n")).alias("hub")).select("key", "hub.node", "hub.n")
-            open_rows, differ = members, F.lit(True)
+            hub = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("r"), "node")).alias("hub")).select(F.col("key").alias("_hk"), F.col("hub.node").alias("_h"))
+            met = members.join(hub, (F.col("key") == F.col("_hk")) & (F.col("node") != F.col("_h")))
+            met = met.select(F.least("node", "_h").alias("a"), F.greatest("node", "_h").alias("b")).distinct()
+            of = lambda x, bs, n: among.select(F.col("node").alias(x), F.col("n").alias(n), *[F.col(c).alias(d) for c, d in zip(bits, bs, strict=True)])
+            pairs = met.join(of("a", bits, "n"), "a").join(of("b", other, "_n"), "b").where(may_link("n", bits, "_n", other, percent)).select("a", "b")
         else:
-            own_label = labels.select(F.col("node").alias("_ln"), F.xxhash64(F.col("label.node")).alias("l"))
-            open_rows = members.where(F.col("n_classes") > before).join(own_label, F.col("node") == F.col("_ln")).drop("_ln")
-            mixed = open_rows.groupBy("key").agg(F.min("l").alias("x"), F.max("l").alias("y")).where("x <> y").select(F.col("key").alias("_k"))
-            open_rows = checkpointed(open_rows.join(mixed, F.col("key") == F.col("_k")).drop("_k"))
-            if open_rows.isEmpty():
+            if before >= 1 << 40:
+                break
+            known = labels.join(among.select(F.col("node").alias("_an"), *bits), F.col("node") == F.col("_an")).select(F.col("node").alias("_ln"), F.xxhash64(F.col("label.node")).alias("l"), *bits)
+            rows = members.where(F.col("n_classes") > before)
+            mixed = rows.join(known.select("_ln", "l"), F.col("node") == F.col("_ln")).groupBy("key").agg(F.min("l").alias("x"), F.max("l").alias("y")).where("x <> y").select(F.col("key").alias("_k"))
+            rows = checkpointed(rows.join(mixed, F.col("key") == F.col("_k")).join(known, F.col("node") == F.col("_ln")).drop("_k", "_ln"))
+            n_rows, n_pairs = rows.agg(F.count("*"), F.sum(F.col("n_classes").cast("double"))).first()
+            if not n_rows:
                 break
+            if n_pairs <= max(AT_ONCE, AT_ONCE_EACH * n_rows):
+                hubs = 1 << 40
             chance = (F.pmod(F.xxhash64("key", "node"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))
-            hub = open_rows.where((F.col("n_classes") <= hubs) | (chance <= F.lit(float(hubs)) / F.col("n_classes")))
-            differ = F.col("l") != F.col("_hl")
-        hub = hub.select(F.col("key").alias("_hk"), F.col("node").alias("_h"), F.col("n").alias("_hn"), *([F.col("l").alias("_hl")] if hubs else []))
-        near = 100 * F.least("n", "_hn") >= percent * F.greatest("n", "_hn")
-        met = open_rows.join(hub, (F.col("key") == F.col("_hk")) & (F.col("node") != F.col("_h")) & near & differ)
-        pairs = met.select(F.least("node", "_h").alias("a"), F.greatest("node", "_h").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+            hub = rows.where((F.col("n_classes") <= hubs) | (chance <= F.lit(float(hubs)) / F.col("n_classes")))
+            hub = hub.select(F.col("key").alias("_hk"), F.col("node").alias("_h"), F.col("n").alias("_n"), F.col("l").alias("_l"), *[F.col(c).alias(d) for c, d in zip(bits, other, strict=True)])
+            met = rows.join(hub, (F.col("key") == F.col("_hk")) & (F.col("l") != F.col("_l")) & may_link("n", bits, "_n", other, percent))
+            pairs = met.select(F.least("node", "_h").alias("a"), F.greatest("node", "_h").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         pairs = checkpointed(pairs)
         found = checkpointed(confirmed(pairs, texts, size, percent))
         done = pairs if done is None else done.union(pairs)
         links = found if links is None else links.union(found)
         if not found.isEmpty():
             labels = components(links, labels)
-        before, hubs = (1, 8) if not hubs else (hubs, 8 * hubs)
+        before, hubs = max(1, hubs), 32 * max(1, hubs)
 
     reached = labels.select(F.col("node").alias("_ln"), F.col("label.doc_id").alias("_least"))
     of = classes.join(reached, F.col("node") == F.col("_ln"), "left").select(F.col("node").alias("_n"), F.when(F.col("_ln").isNull(), F.col("rep.doc_id")).otherwise(F.col("_least")).alias("_component"))
@@ -225,9 +252,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row of docs for each component, columns as they came: that of the least doc_id. Of rows with one id, one stays."""
-    kept = near_duplicates(docs, size, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    kept = near_duplicates(docs, size, percent).where("kept").select(key(F.col("doc_id")).alias("_key")).distinct()
     names = [f"_c{i}" for i in range(len(docs.columns))]
-    at = names[docs.columns.index("doc_id")]
-    rows = docs.toDF(*names).join(kept, F.col(at).eqNullSafe(F.col("_kept")), "left_semi")
-    one = rows.withColumn("_row", F.row_number().over(Window.partitionBy(at).orderBy(F.lit(0)))).where("_row = 1").drop("_row")
-    return one.toDF(*docs.columns)
+    rows = docs.toDF(*names).withColumn("_key", key(F.col(names[docs.columns.index("doc_id")]))).join(kept, "_key", "left_semi")
+    one = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))  # dealt as the join dealt them: texts move once
+    return rows.withColumn("_row", one).where("_row = 1").select(*names).toDF(*docs.columns)

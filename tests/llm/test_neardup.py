@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pytest
+
 from snapforge.llm import neardup
 
 
@@ -51,12 +54,24 @@ def corpus(seed=5):
     return list(zip(ids, rows, strict=True))
 
 
-def test_against_all_pairs(spark):
+@pytest.mark.parametrize(("n", "percent", "at_once"), [(3, 85, None), (5, 80, None), (3, 85, 0)])
+def test_against_all_pairs(spark, monkeypatch, n, percent, at_once):
     rows = corpus()
-    for n, percent in ((3, 85), (5, 80)):
-        out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), n, percent).collect()
-        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == sorted(groups(rows, n, percent))
-        assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
+    if at_once is not None:  # in rounds of more and more hubs
+        monkeypatch.setattr(neardup, "AT_ONCE", at_once)
+        monkeypatch.setattr(neardup, "AT_ONCE_EACH", at_once)
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), n, percent).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == sorted(groups(rows, n, percent))
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
+
+
+def test_bitmaps_bound_differences():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        x = np.unique(rng.integers(0, 1 << 64, rng.integers(1, 900), np.uint64))
+        y = np.unique(np.append(rng.choice(x, rng.integers(0, len(x) + 1), replace=False), rng.integers(0, 1 << 64, rng.integers(1, 300), np.uint64)))
+        a, b = neardup.bitmaps([x, y])
+        assert sum(int(v).bit_count() for v in (a ^ b).view(np.uint64)) <= len(np.setxor1d(x, y))
 
 
 def test_odd_rows(spark):
