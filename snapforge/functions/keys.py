@@ -28,6 +28,13 @@ def encode_key(key: Column, encoding: str) -> Column:
     raise ConfigError(f"no such key encoding: {encoding}; there are {', '.join(ENCODINGS)}")
 
 
+def decode_key(encoded: Column, encoding: str, kind: str) -> Column:
+    """The key, of a Spark type, that encode_key made this of."""
+    if encoding in ("u64be", "u32be"):
+        return F.conv(F.hex(encoded), 16, 10).cast("decimal(20,0)").cast(kind)
+    return F.decode(encoded, "UTF-8") if encoding == "utf8" else encoded
+
+
 def check_encoding(kind: str, encoding: str) -> None:
     """An error where keys of a Spark type can't have an encoding."""
     fits = {"u64be": ("tinyint", "smallint", "int", "bigint"), "utf8": ("string",), "raw": ("binary",)}

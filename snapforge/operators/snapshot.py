@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapforge.errors import ConfigError
-from snapforge.functions.keys import check_encoding, encode_key
+from snapforge.functions.keys import check_encoding, decode_key, encode_key
 from snapforge.operators.sharding import SHARD, ExpressionSharding, HashSharding, check_assigned, check_no_clash, infer_routing_values, last_write_wins, num_shards_for, resolve_num_shards, with_shard_id
 from snapforge.sources.manifest import Manifest, ManifestStore
 
@@ -60,14 +60,8 @@ def build_snapshot(
         n = sharding.num_shards or resolve_num_shards(rows)
     check_assigned(rows, n)
 
-    made = rows.select(SHARD, F.col(key).alias("_key"), encode_key(F.col(key), key_encoding).alias("k"), value.alias("v"), *(_vector(*vector) if vector else ()), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-    if order:
-        counted = made.groupBy(SHARD, "k").agg(F.count("*").alias("_n"), F.first("_key").alias("_key")).groupBy(SHARD)
-        stats = counted.agg(F.sum("_n").alias("row_count"), F.count("*").alias("num_keys"), F.min("_key").alias("min_key"), F.max("_key").alias("max_key"))
-        kept = last_write_wins(made, [SHARD, "k"], [f"_o{i}" for i in range(len(order))])
-    else:
-        stats = made.groupBy(SHARD).agg(F.count("*").alias("row_count"), F.count("*").alias("num_keys"), F.min("_key").alias("min_key"), F.max("_key").alias("max_key"))
-        kept = made
+    made = rows.select(SHARD, encode_key(F.col(key), key_encoding).alias("k"), value.alias("v"), *(_vector(*vector) if vector else ()), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    kept = last_write_wins(made, [SHARD, "k"], [f"_o{i}" for i in range(len(order))]) if order else made
     columns = [SHARD, "k", "v", *(["vec_id", "embedding", "payload"] if vector else [])]
     shards = kept.select(*columns).repartitionById(n, SHARD).sortWithinPartitions(SHARD, "k")
     shards.write.partitionBy(SHARD).parquet(store.folder(run_id, "data"))
@@ -75,10 +69,15 @@ def build_snapshot(
     if not order and (repeated := written.groupBy(SHARD, "k").count().where("count > 1").limit(1).collect()):
         store.files.delete(f"runs/run_id={run_id}")
         raise ConfigError(f"the key {bytes(repeated[0]['k']).hex()} repeats: say which row is the last with order")
-    sizes = written.groupBy(SHARD).agg(F.sum(F.length("k") + F.coalesce(F.length("v"), F.lit(0))).cast("long").alias("db_bytes"))
-    stats.join(sizes, SHARD).coalesce(1).sortWithinPartitions(SHARD).write.parquet(store.folder(run_id, "shards"))
+    kind = dict(df.dtypes)[key]
+    stats = written.groupBy(SHARD).agg(  # the input is not read again, unless its rows were reduced
+        F.count("*").alias("num_keys"), F.min("k").alias("_min"), F.max("k").alias("_max"), F.sum(F.length("k") + F.coalesce(F.length("v"), F.lit(0))).cast("long").alias("db_bytes")
+    )
+    stats = stats.join(made.groupBy(SHARD).agg(F.count("*").alias("row_count")), SHARD) if order else stats.withColumn("row_count", F.col("num_keys"))
+    stats = stats.select(SHARD, "row_count", "num_keys", decode_key(F.col("_min"), key_encoding, kind).alias("min_key"), decode_key(F.col("_max"), key_encoding, kind).alias("max_key"), "db_bytes")
+    stats.coalesce(1).sortWithinPartitions(SHARD).write.parquet(store.folder(run_id, "shards"))  # a row for each shard
     total = store.shards(run_id).agg(F.coalesce(F.sum("row_count"), F.lit(0))).first()[0]
-    manifest = Manifest(run_id, datetime.now(UTC).isoformat(), n, key, dict(df.dtypes)[key], key_encoding, _describe(sharding, values), int(total), custom=(custom or {}) | ({"vector": {"id": vector[0], "column": vector[1]}} if vector else {}))
+    manifest = Manifest(run_id, datetime.now(UTC).isoformat(), n, key, kind, key_encoding, _describe(sharding, values), int(total), custom=(custom or {}) | ({"vector": {"id": vector[0], "column": vector[1]}} if vector else {}))
     store.publish(manifest)
     return BuildResult(manifest, int(total), n)
 

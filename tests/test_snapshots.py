@@ -26,6 +26,7 @@ def test_every_key_is_in_one_shard(spark, tmp_path):
     with Snapshot(spark, str(tmp_path)) as s:
         stats = s.shards().collect()
         assert sum(r["row_count"] for r in stats) == 71 and all(r["row_count"] for r in stats)
+        assert min(r["min_key"] for r in stats) == 0 and max(r["max_key"] for r in stats) == 70 and all(r["db_bytes"] > 0 for r in stats)
         where = {int.from_bytes(r["k"], "big"): r[SHARD] for r in s.kv.collect()}
         assert len(where) == 71 and all(shard_of(k, 5) == v == s.route_key(k) for k, v in where.items())
         assert s.get(3) == b"payload-3" and s.get(1000) is None
