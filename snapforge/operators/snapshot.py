@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -32,15 +32,19 @@ def _describe(sharding: HashSharding | ExpressionSharding, values: Sequence | No
 
 def build_snapshot(
     df: DataFrame, root: str, key: str, value: Column, sharding: HashSharding | ExpressionSharding, key_encoding: str = "u64be",
-    order: Sequence[str] = (), vector: tuple[str, str, Sequence[str]] | None = None, run_id: str | None = None, custom: dict | None = None,
+    order: Sequence[str] = (), vector: tuple[str, str, Sequence[str]] | None = None, run_id: str | None = None, custom: dict | None = None, files_per_shard: int = 1,
+    emit: Callable[[str, dict], None] | None = None,
 ) -> BuildResult:
     """Write df as an immutable snapshot under root and make it current.
 
     Rows become (_shard_id, k, v), and with vector = (id column, vector column, payload columns) also
     (vec_id, embedding, payload). Of rows with one key the one of the greatest `order` is kept, while
     row counts are of input rows; without `order` repeated keys are an error, as shuffled rows have no order.
-    One partition holds one shard, sorted by key, so lookups prune by folder and by row group.
+    One partition holds one shard, sorted by key, so lookups prune by folder and by row group. Shards
+    too large for one task are split by key range over about files_per_shard tasks; that is also the way
+    to one sorted shard of everything (HashSharding(1)). emit is called with events: see snapforge.metrics.
     """
+    emit = emit or (lambda event, fields: None)
     check_no_clash(df)
     check_encoding(dict(df.dtypes)[key], key_encoding)
     run_id = run_id or f"{datetime.now(UTC):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
@@ -63,7 +67,9 @@ def build_snapshot(
     made = rows.select(SHARD, encode_key(F.col(key), key_encoding).alias("k"), value.alias("v"), *(_vector(*vector) if vector else ()), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
     kept = last_write_wins(made, [SHARD, "k"], [f"_o{i}" for i in range(len(order))]) if order else made
     columns = [SHARD, "k", "v", *(["vec_id", "embedding", "payload"] if vector else [])]
-    shards = kept.select(*columns).repartitionById(n, SHARD).sortWithinPartitions(SHARD, "k")
+    emit("write_started", {"run_id": run_id, "num_shards": n})
+    dealt = kept.select(*columns).repartitionById(n, SHARD) if files_per_shard == 1 else kept.select(*columns).repartitionByRange(n * files_per_shard, SHARD, "k")
+    shards = dealt.sortWithinPartitions(SHARD, "k")
     shards.write.partitionBy(SHARD).parquet(store.folder(run_id, "data"))
     written = df.sparkSession.read.schema(kept.select(*columns).schema).parquet(store.folder(run_id, "data"))
     if not order and (repeated := written.groupBy(SHARD, "k").count().where("count > 1").limit(1).collect()):
@@ -78,7 +84,9 @@ def build_snapshot(
     stats.coalesce(1).sortWithinPartitions(SHARD).write.parquet(store.folder(run_id, "shards"))  # a row for each shard
     total = store.shards(run_id).agg(F.coalesce(F.sum("row_count"), F.lit(0))).first()[0]
     manifest = Manifest(run_id, datetime.now(UTC).isoformat(), n, key, kind, key_encoding, _describe(sharding, values), int(total), custom=(custom or {}) | ({"vector": {"id": vector[0], "column": vector[1]}} if vector else {}))
+    emit("shards_written", {"run_id": run_id, "rows_written": int(total)})
     store.publish(manifest)
+    emit("published", {"run_id": run_id})
     return BuildResult(manifest, int(total), n)
 
 
