@@ -38,6 +38,8 @@ MISS = 1e-4
 SEED = 20240229
 #: Longs of a bitmap.
 BITMAP = 8
+#: Low bits of a key that say which table it is of.
+TABLE_BITS = 12
 #: Bitmaps are compared for all pairs of the open buckets at once if these are no more than so many, or so many for each row.
 AT_ONCE, AT_ONCE_EACH = 200_000_000, 1000
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -132,6 +134,14 @@ def fingerprints(docs: DataFrame, size: int, groups: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, crc bigint, n_shingles bigint, node binary, " + ", ".join(f"{x} bigint" for x in names))
 
 
+def _first_table(groups: list[str], pair: Column) -> Column:
+    """Is the table of these two collections the first that two classes (g0, ... and _g0, ...) share: so a pair is met once, not in every table."""
+    same = sum((F.when(F.col(g) == F.col(f"_{g}"), F.lit(1 << i)).otherwise(0).cast("long") for i, g in enumerate(groups)), F.lit(0).cast("long"))
+    low = lambda x: x.bitwiseAND(-x)
+    rest = same.bitwiseAND(same - 1)
+    return low(same).bitwiseOR(low(rest)) == pair
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose sets, rebuilt from texts (node, packed), have 100 * common >= percent * all."""
     side = lambda x: texts.select(F.col("node").alias(x), F.col("packed").alias(f"{x}_text"))
@@ -192,12 +202,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = prints.where("node IS NOT NULL").groupBy("node").agg(F.min(first).alias("rep"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in [*(f"g{i}" for i in range(groups)), *bits]])
     classes = checkpointed(classes)
     tables = [(i, j) for i in range(groups) for j in range(i + 1, groups)]
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(t), f"g{i}", f"g{j}") for t, (i, j) in enumerate(tables)]))
+    keys = F.explode(F.array(*[F.shiftleft(F.xxhash64(f"g{i}", f"g{j}"), TABLE_BITS).bitwiseOR(F.lit(t).cast("long")) for t, (i, j) in enumerate(tables)]))
     rows = classes.select("node", "n", F.xxhash64("node").alias("h"), keys.alias("key"))
     shared = rows.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.count("*").alias("n_classes")).where("x <> y").select(F.col("key").alias("_key"), "n_classes")
     members = checkpointed(rows.join(shared, F.col("key") == F.col("_key")).select("key", "node", "n", "n_classes"))
     own = F.struct(F.col("rep.no_id").alias("no_id"), F.col("rep.doc_id").alias("doc_id"), F.col("node").alias("node"))
-    among = classes.join(members.select(F.col("node").alias("_n")).distinct(), F.col("node") == F.col("_n")).select("node", "rep", "n", own.alias("label"), *bits)
+    among = classes.join(members.select(F.col("node").alias("_n")).distinct(), F.col("node") == F.col("_n")).select("node", "rep", "n", own.alias("label"), *bits, *(f"g{i}" for i in range(groups)))
     among = checkpointed(among)
 
     @F.arrow_udf("binary")
@@ -210,7 +220,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     texts = checkpointed(texts)
 
     labels, hubs, before, done, links = among.select("node", "label"), 0, 1, None, None
-    other = [f"_{c}" for c in bits]
+    other, own_groups = [f"_{c}" for c in bits], [f"g{i}" for i in range(groups)]
+    pair = F.element_at(F.array(*[F.lit((1 << i) | (1 << j)).cast("long") for i, j in tables]), (F.col("key").bitwiseAND(F.lit((1 << TABLE_BITS) - 1).cast("long")) + 1).cast("int"))
     while True:
         if not hubs:
             hub = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("r"), "node")).alias("hub")).select(F.col("key").alias("_hk"), F.col("hub.node").alias("_h"))
@@ -221,7 +232,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         else:
             if before >= 1 << 40:
                 break
-            known = labels.join(among.select(F.col("node").alias("_an"), *bits), F.col("node") == F.col("_an")).select(F.col("node").alias("_ln"), F.xxhash64(F.col("label.node")).alias("l"), *bits)
+            known = labels.join(among.select(F.col("node").alias("_an"), *bits, *own_groups), F.col("node") == F.col("_an")).select(F.col("node").alias("_ln"), F.xxhash64(F.col("label.node")).alias("l"), *bits, *own_groups)
             rows = members.where(F.col("n_classes") > before)
             mixed = rows.join(known.select("_ln", "l"), F.col("node") == F.col("_ln")).groupBy("key").agg(F.min("l").alias("x"), F.max("l").alias("y")).where("x <> y").select(F.col("key").alias("_k"))
             rows = checkpointed(rows.join(mixed, F.col("key") == F.col("_k")).join(known, F.col("node") == F.col("_ln")).drop("_k", "_ln"))
@@ -231,9 +242,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             if n_pairs <= max(AT_ONCE, AT_ONCE_EACH * n_rows):
                 hubs = 1 << 40
             chance = (F.pmod(F.xxhash64("key", "node"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))
-            hub = rows.where((F.col("n_classes") <= hubs) | (chance <= F.lit(float(hubs)) / F.col("n_classes")))
-            hub = hub.select(F.col("key").alias("_hk"), F.col("node").alias("_h"), F.col("n").alias("_n"), F.col("l").alias("_l"), *[F.col(c).alias(d) for c, d in zip(bits, other, strict=True)])
-            met = rows.join(hub, (F.col("key") == F.col("_hk")) & (F.col("l") != F.col("_l")) & may_link("n", bits, "_n", other, percent))
+            rows = rows.withColumn("is_hub", (F.col("n_classes") <= hubs) | (chance <= F.lit(float(hubs)) / F.col("n_classes"))).withColumn("pair", pair)
+            renamed = {c: f"_{c}" for c in (*bits, *own_groups)}
+            hub = rows.where("is_hub").select(F.col("key").alias("_hk"), F.col("node").alias("_h"), F.col("n").alias("_n"), F.col("l").alias("_l"), *[F.col(c).alias(d) for c, d in renamed.items()])
+            once = (~F.col("is_hub") | (F.col("node") < F.col("_h"))) & _first_table(own_groups, F.col("pair"))
+            met = rows.join(hub, (F.col("key") == F.col("_hk")) & (F.col("l") != F.col("_l")) & may_link("n", bits, "_n", other, percent) & once)
             pairs = met.select(F.least("node", "_h").alias("a"), F.greatest("node", "_h").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         pairs = checkpointed(pairs)
         found = checkpointed(confirmed(pairs, texts, size, percent))
