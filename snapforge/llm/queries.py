@@ -94,4 +94,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
 }
-SQL: dict[str, str] = {"op1_mix_sources": sql.MIX, "op6_chat_format": sql.CHAT, "op7_url_filter": sql.URLS}
+SQL: dict[str, str] = {"op1_mix_sources": sql.MIX, "op3_quality_rules": sql.QUALITY, "op6_chat_format": sql.CHAT, "op7_url_filter": sql.URLS}

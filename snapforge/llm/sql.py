@@ -44,3 +44,22 @@ f AS (SELECT h.*, (SELECT max_by(struct_pack(rule := rhost || rpath, verdict :=
              EXISTS (SELECT 1 FROM b WHERE h.host = domain OR h.host LIKE '%.' || domain) AS listed FROM h)
 SELECT page_id, host, path, hit.rule AS rule, coalesce(hit.verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict FROM f
 """
+
+#: The rules of quality.RULES with their bits, the base rules first.
+QUALITY = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+p AS (SELECT r, unnest(range(1, len(w) - 6)) AS p, w FROM w WHERE len(w) >= 8),
+g AS (SELECT r, p, count(*) OVER (PARTITION BY r, list_slice(w, p, p + 7)) AS n FROM p),
+c AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + 8)) AS q FROM g WHERE n >= 2) GROUP BY r),
+s AS (SELECT r, count(*) AS n FROM (SELECT r, unnest(range(2, len(w) + 1)) AS i, w FROM w) WHERE w[i] = w[i - 1] GROUP BY r),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+             coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines, coalesce(s.n, 0) AS n_stutters,
+             length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS n_letters, length(regexp_replace(t, '[^!]', '', 'g')) AS n_exclamations
+      FROM w LEFT JOIN c USING (r) LEFT JOIN s USING (r)),
+f AS (SELECT *, ((n_words < 20)::INT * 1 + (100 * n_repeat_words > 30 * n_words)::INT * 2 + (100 * n_symbols > 30 * n_words)::INT * 4 + (100 * n_dup_lines > 50 * n_lines)::INT * 8
+              + (100 * n_stutters > 40 * n_words)::INT * 16 + (n_letters >= 40 AND 100 * n_upper > 60 * n_letters)::INT * 32 + (100 * n_exclamations > 50 * n_words)::INT * 64
+              + (n_words > 0 AND 10 * word_chars < 15 * n_words)::INT * 128 + (word_chars > 40 * n_words)::INT * 256)::BIGINT AS failures FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
+"""
