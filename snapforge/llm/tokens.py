@@ -28,9 +28,12 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         """Unsigned 32-bit ids, no special tokens added."""
-        if SPECIAL in text:
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4")
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        if SPECIAL not in text:
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+            except ValueError:  # runs of some 100,000 white-space characters are too deep for its splitter
+                pass
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 @lru_cache(maxsize=2)

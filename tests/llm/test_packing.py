@@ -20,7 +20,7 @@ def test_ids_are_the_vocabulary_file_s(text):
 
 def test_special_strings_and_long_runs():
     e = encoder()
-    for text in ("a<|endoftext|>b", "x" * 20_000, " " * 20_000 + "a", "\n" * 5000):
+    for text in ("a<|endoftext|>b", "x" * 20_000, " " * 20_000 + "a", "\n" * 5000, "b" + " " * 1_000_000 + "a"):
         assert e.ids(text).tolist() == Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
 
 
