@@ -29,15 +29,6 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def as_words(text: str) -> list[bytes]:
-    """The words of a text, as UTF-8: bytes.split() splits at exactly the six characters that WORD leaves out."""
-    return text.encode("utf-8", "surrogatepass").split()
-
-
-def table(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in ((f, columns[f.name]) for f in schema)], schema=schema)
-
-
 def starts(lengths: np.ndarray) -> np.ndarray:
     """Where each run begins when runs of these lengths lie one after the other."""
     out = np.zeros(len(lengths), np.int64)

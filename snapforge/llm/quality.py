@@ -133,9 +133,9 @@ def ablation(ledger_rows: DataFrame, policy: str | tuple[str, ...] = "v1") -> Da
     names = POLICIES[policy] if isinstance(policy, str) else policy
     hit = F.col("failures").bitwiseAND(F.lit(mask(policy)).cast("long"))
     patterns = ledger_rows.groupBy(hit.alias("hit")).agg(F.count("*").alias("n"))
-    bit = F.shiftleft(F.lit(1).cast("long"), F.col("bit"))
+    bit = F.col("bit")
     has = F.col("hit").bitwiseAND(bit) != 0
-    rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(BIT[r]).alias("bit")) for r in names]))
+    rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(1 << BIT[r]).cast("long").alias("bit")) for r in names]))
     rows = patterns.select("hit", "n", rules.alias("r")).select("hit", "n", "r.rule", "r.bit")
     return rows.groupBy("rule").agg(F.sum(F.when(has, F.col("n")).otherwise(0)).alias("n_failed"), F.sum(F.when(F.col("hit") == bit, F.col("n")).otherwise(0)).alias("n_failed_alone"))
 
