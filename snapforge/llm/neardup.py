@@ -187,6 +187,17 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
+def merged(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels with the components joined that links (a, b) connect. Links count once for each two components, however many there are."""
+    at = lambda x, r: labels.select(F.col("node").alias(x), F.col("label.node").alias(r))
+    edges = links.join(at("a", "ra"), "a").join(at("b", "rb"), "b").where("ra <> rb")
+    edges = checkpointed(edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+    if edges.isEmpty():
+        return labels
+    roots = components(edges, labels.where(F.col("node") == F.col("label.node"))).select(F.col("node").alias("_root"), F.col("label").alias("_label"))
+    return checkpointed(labels.join(roots, F.col("label.node") == F.col("_root")).select("node", F.col("_label").alias("label")))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs.
 
@@ -219,7 +230,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     texts = among.join(source, F.col("rep.doc_id").eqNullSafe(F.col("_id")) & (F.col("rep.crc") == F.col("_crc"))).groupBy("node").agg(F.first("packed").alias("packed"))
     texts = checkpointed(texts)
 
-    labels, hubs, before, done, links = among.select("node", "label"), 0, 1, None, None
+    labels, hubs, before, done = among.select("node", "label"), 0, 1, None
     other, own_groups = [f"_{c}" for c in bits], [f"g{i}" for i in range(groups)]
     pair = F.element_at(F.array(*[F.lit((1 << i) | (1 << j)).cast("long") for i, j in tables]), (F.col("key").bitwiseAND(F.lit((1 << TABLE_BITS) - 1).cast("long")) + 1).cast("int"))
     while True:
@@ -251,9 +262,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         pairs = checkpointed(pairs)
         found = checkpointed(confirmed(pairs, texts, size, percent))
         done = pairs if done is None else done.union(pairs)
-        links = found if links is None else links.union(found)
-        if not found.isEmpty():
-            labels = components(links, labels)
+        labels = merged(found, labels)
         before, hubs = max(1, hubs), 32 * max(1, hubs)
 
     reached = labels.select(F.col("node").alias("_ln"), F.col("label.doc_id").alias("_least"))
