@@ -163,7 +163,8 @@ def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
 
     Null html is empty, and empty pages have the empty text. Pages without content blocks keep their
     open tokens that no repeated run covers; on a host whose pages all say the same, nothing repeats
-    in another wording and all of it stays. Repeated rows, null ids and null urls stay. Columns other
+    in another wording and all of it stays. Repeated rows, null ids and null urls stay; pages without a
+    host are one host. Columns other
     than page_id, url and html are left out. Empty table: empty result.
     """
     rows = pages.select("page_id", "url", "html")
