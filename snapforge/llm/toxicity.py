@@ -23,7 +23,7 @@ from snapforge.llm.common import texts
 #: Hashed terms.
 SPACE = 1 << 20
 #: Labelled rows that a model is fitted on, at most: those with the least hash of their id.
-MAX_ROWS = 20_000
+MAX_ROWS = 10_000
 #: Terms that a model has, at most: those that labels differ most on.
 MAX_TERMS = 512
 RANK = 4
