@@ -14,8 +14,8 @@ From keys to groups of copies, without ever listing the pairs of a bucket:
 Pairs that a bitmap filter can't rule out are confirmed on full sets, rebuilt from the texts. The
 bitmap has a bit for each hash slot, set if an odd number of the set's shingles fall there; as each
 shingle that only one of two sets has flips one bit, the bits that differ are a lower bound of their
-difference, and no link is lost. Components are joined by least labels
-with pointer jumping. Every step is a join or an aggregation; loops end on counts, and the driver
+difference, and no link is lost. Components are joined by contraction
+to least labels. Every step is a join or an aggregation; loops end on counts, and the driver
 gets no document, link or component.
 """
 
@@ -169,33 +169,32 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a binary, b binary")
 
 
-def components(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """labels (node, label) brought down to the least label of each component; label is a struct that ends in a node.
+def merged(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels (node, label) with the components joined that links (a, b) connect. A label is a struct; a component's is its least.
 
-    A round takes the least label of all neighbours, then the label of the label's own node. Paths
-    shorten by half or more each time.
+    The vertices are labels, and links count once for each two of them. In a round every vertex goes
+    to its least neighbour if that is less, and on to where that one goes; what is left are edges
+    between the vertices that stayed, so a component of any size shrinks to its least vertex.
     """
-    both = checkpointed(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = labels.select("node", "label")
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        lower = labels.join(near, labels.node == near.a, "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        own = lower.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
-        jumped = lower.join(own, lower.label.node == F.col("_n")).select("node", F.least("label", "_l").alias("label"), (F.least("label", "_l") < F.col("old")).alias("moved"))
-        labels = checkpointed(jumped)
-        if labels.where("moved").isEmpty():
-            return labels.select("node", "label")
-
-
-def merged(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """labels with the components joined that links (a, b) connect. Links count once for each two components, however many there are."""
-    at = lambda x, r: labels.select(F.col("node").alias(x), F.col("label.node").alias(r))
-    edges = links.join(at("a", "ra"), "a").join(at("b", "rb"), "b").where("ra <> rb")
-    edges = checkpointed(edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-    if edges.isEmpty():
+    at = lambda x, r: labels.select(F.col("node").alias(x), F.col("label").alias(r))
+    between = lambda x, y: (F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
+    edges = links.join(at("a", "la"), "a").join(at("b", "lb"), "b").where("la <> lb").select(*between("la", "lb")).distinct()
+    edges, roots = checkpointed(edges), None
+    while not edges.isEmpty():
+        both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).union(edges.select("v", "u"))
+        up = checkpointed(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p")))
+        for _ in range(2):
+            up = up.join(up.select(F.col("x").alias("_x"), F.col("p").alias("_p")), F.col("p") == F.col("_x")).select("x", F.col("_p").alias("p"))
+        up = checkpointed(up)
+        to = lambda x, p, up=up: up.select(F.col("x").alias(x), F.col("p").alias(p))
+        if roots is None:
+            roots = to("_v", "_r")
+        else:
+            roots = checkpointed(roots.join(to("_x", "_p"), F.col("_r") == F.col("_x"), "left").select("_v", F.coalesce("_p", "_r").alias("_r")))
+        edges = checkpointed(edges.join(to("u", "pu"), "u").join(to("v", "pv"), "v").where("pu <> pv").select(*between("pu", "pv")).distinct())
+    if roots is None:
         return labels
-    roots = components(edges, labels.where(F.col("node") == F.col("label.node"))).select(F.col("node").alias("_root"), F.col("label").alias("_label"))
-    return checkpointed(labels.join(roots, F.col("label.node") == F.col("_root")).select("node", F.col("_label").alias("label")))
+    return checkpointed(labels.join(roots, F.col("label") == F.col("_v"), "left").select("node", F.coalesce("_r", "label").alias("label")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
