@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from snapforge.llm.mixing import mixed
-from snapforge.llm.neardup import deduplicated
+from snapforge.llm.neardup import representatives
 from snapforge.llm.packing import pack
 from snapforge.llm.quality import kept_documents
 from snapforge.llm.toxicity import accepted_documents, train
@@ -29,8 +29,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at a similarity of 0.8 or more."""
-    return deduplicated(docs, size=5, percent=80)
+    """One row of each group linked by five-word shingles at a similarity of 0.8 or more, and all rows without words."""
+    return representatives(docs, size=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

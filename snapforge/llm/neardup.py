@@ -21,7 +21,6 @@ gets no document, link or component.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,7 +112,7 @@ def may_link(n: Column | str, bits: list[str], other_n: Column | str, other_bits
 
 
 def fingerprints(docs: DataFrame, size: int, groups: int) -> DataFrame:
-    """doc_id, crc (of the text), n_shingles, node (a digest of the set; null if it is empty), g0, g1, ... and the bitmap b0, b1, ..."""
+    """doc_id, text_hash, n_shingles, node (a digest of the set; null if it is empty), g0, g1, ... and the bitmap b0, b1, ..."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = [*(f"g{i}" for i in range(groups)), *(f"b{i}" for i in range(BITMAP))]
 
@@ -128,10 +127,10 @@ def fingerprints(docs: DataFrame, size: int, groups: int) -> DataFrame:
                     full = [s for s in sets if len(s)]
                     keys[some] = np.hstack([group_keys(full, groups), bitmaps(full)])
                 node = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                crc = [zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in text]
-                yield pa.RecordBatch.from_arrays([plain(part, "doc_id"), pa.array(crc, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), *(pa.array(np.ascontiguousarray(x)) for x in keys.T)], names=["doc_id", "crc", "n_shingles", "node", *names])
+                text_hash = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in text]  # as Spark's xxhash64
+                yield pa.RecordBatch.from_arrays([plain(part, "doc_id"), pa.array(np.array(text_hash, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), *(pa.array(np.ascontiguousarray(x)) for x in keys.T)], names=["doc_id", "text_hash", "n_shingles", "node", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, crc bigint, n_shingles bigint, node binary, " + ", ".join(f"{x} bigint" for x in names))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, node binary, " + ", ".join(f"{x} bigint" for x in names))
 
 
 def _first_table(groups: list[str], pair: Column) -> Column:
@@ -197,18 +196,15 @@ def merged(links: DataFrame, labels: DataFrame) -> DataFrame:
     return checkpointed(labels.join(roots, F.col("label") == F.col("_v"), "left").select("node", F.coalesce("_r", "label").alias("label")))
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs.
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
-    Linked: 100 * common shingles >= percent * all shingles of both. component_id is the least doc_id
-    that links reach, kept is doc_id = component_id. Null, empty and wordless texts have no shingles and
-    link with nothing. Equal sets are linked, whatever their number. Null doc_ids come after others; a
-    component of null ids only has a null id. Repeated rows stay, each with its component. Columns
-    other than doc_id and text are left out. Empty table: empty result.
-    """
+
+def _labelled(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of docs, and their classes: node, rep (no_id, doc_id, text_hash) and label (no_id, doc_id, node), the component's least class; null where no table is shared."""
     groups, bits = n_groups(percent), [f"b{i}" for i in range(BITMAP)]
     prints = checkpointed(fingerprints(docs, size, groups))
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "crc")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     classes = prints.where("node IS NOT NULL").groupBy("node").agg(F.min(first).alias("rep"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in [*(f"g{i}" for i in range(groups)), *bits]])
     classes = checkpointed(classes)
     tables = [(i, j) for i in range(groups) for j in range(i + 1, groups)]
@@ -225,8 +221,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         pack = zstandard.ZstdCompressor(level=1).compress
         return pa.array([pack((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in text], pa.binary())  # one text at a time
 
-    source = docs.select(F.col("doc_id").alias("_id"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_crc"), packed(F.col("text")).alias("packed"))
-    texts = among.join(source, F.col("rep.doc_id").eqNullSafe(F.col("_id")) & (F.col("rep.crc") == F.col("_crc"))).groupBy("node").agg(F.first("packed").alias("packed"))
+    source = docs.select(F.col("doc_id").alias("_id"), _text_hash().alias("_hash"), packed(F.col("text")).alias("packed"))
+    texts = among.join(source, F.col("rep.doc_id").eqNullSafe(F.col("_id")) & (F.col("rep.text_hash") == F.col("_hash"))).groupBy("node").agg(F.first("packed").alias("packed"))
     texts = checkpointed(texts)
 
     labels, hubs, before, done = among.select("node", "label"), 0, 1, None
@@ -264,8 +260,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         labels = merged(found, labels)
         before, hubs = max(1, hubs), 32 * max(1, hubs)
 
-    reached = labels.select(F.col("node").alias("_ln"), F.col("label.doc_id").alias("_least"))
-    of = classes.join(reached, F.col("node") == F.col("_ln"), "left").select(F.col("node").alias("_n"), F.when(F.col("_ln").isNull(), F.col("rep.doc_id")).otherwise(F.col("_least")).alias("_component"))
+    reached = labels.select(F.col("node").alias("_ln"), "label")
+    return prints, classes.join(reached, F.col("node") == F.col("_ln"), "left").select("node", "rep", "label")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs.
+
+    Linked: 100 * common shingles >= percent * all shingles of both. component_id is the least doc_id
+    that links reach, kept is doc_id = component_id. Null, empty and wordless texts have no shingles and
+    link with nothing. Equal sets are linked, whatever their number. Null doc_ids come after others; a
+    component of null ids only has a null id. Repeated rows stay, each with its component. Columns
+    other than doc_id and text are left out. Empty table: empty result.
+    """
+    prints, classes = _labelled(docs, size, percent)
+    of = classes.select(F.col("node").alias("_n"), F.when(F.col("label").isNull(), F.col("rep.doc_id")).otherwise(F.col("label.doc_id")).alias("_component"))
     out = prints.join(of, F.col("node") == F.col("_n"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -279,3 +288,22 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     rows = docs.toDF(*names).withColumn("_key", key(F.col(names[docs.columns.index("doc_id")]))).join(kept, "_key", "left_semi")
     one = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))  # dealt as the join dealt them: texts move once
     return rows.withColumn("_row", one).where("_row = 1").select(*names).toDF(*docs.columns)
+
+
+def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of docs for each component, columns as they came, and every row without shingles.
+
+    A component's row is that of its least class (by doc_id, nulls last, then set digest) with the
+    least (doc_id, text hash) there. Rows are told apart by id and text, so those that only share an id,
+    or have none, stay.
+    """
+    _, classes = _labelled(docs, size, percent)
+    least = classes.where(F.col("label").isNull() | (F.col("label.node") == F.col("node")))
+    key = lambda d, h: (F.coalesce(d.cast("string"), F.lit("")).alias("_id"), d.isNull().alias("_no_id"), h.alias("_hash"))
+    kept = least.select(*key(F.col("rep.doc_id"), F.col("rep.text_hash")))
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    wordless = F.btrim(F.coalesce(F.col("text"), F.lit("")), F.lit(" \t\n\r\x0b\x0c")) == ""
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], *key(F.col("doc_id"), _text_hash()), wordless.alias("_wordless"))
+    one = F.row_number().over(Window.partitionBy("_id", "_no_id", "_hash").orderBy(F.lit(0)))  # dealt as the join dealt them: texts move once
+    met = rows.where("NOT _wordless").join(kept, ["_id", "_no_id", "_hash"], "left_semi").withColumn("_row", one).where("_row = 1")
+    return met.select(*names).union(rows.where("_wordless").select(*names)).toDF(*docs.columns)

@@ -89,3 +89,21 @@ def test_number_of_groups():
         g = neardup.n_groups(percent)
         p = (percent / 100) ** neardup.GROUP
         assert (1 - p) ** g + g * p * (1 - p) ** (g - 1) <= neardup.MISS < (1 - p) ** (g - 1) + (g - 1) * p * (1 - p) ** (g - 2)
+
+
+def test_one_row_of_each_component(spark):
+    """Null and repeated ids lose nothing that no link reaches."""
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "quite another text it is"), (None, "a b c d e f"), (None, "null only words here now"), (None, "null only words here now"), (None, "some more words without id"), (2, None), (None, " \n"), (None, "")]
+    long = [f"w{i}" for i in range(60)]
+    rows += [(5, " ".join(long)), (4, " ".join([*long[:-1], "x"])), (4, "unlinked words of id four")]  # the copy with id 4 stands for both
+    kept = neardup.representatives(spark.createDataFrame([(i, t, "x", i) for i, t in rows], "doc_id long, text string, node string, n long").repartition(3), 5, 80)
+    assert kept.columns == ["doc_id", "text", "node", "n"]
+    want = [(1, "a b c d e f"), (1, "quite another text it is"), (None, "null only words here now"), (None, "some more words without id"), (2, None), (None, " \n"), (None, ""), (4, rows[-2][1]), (4, rows[-1][1])]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, want))
+
+
+def test_text_hash_is_sparks(spark):
+    texts = ["", "a b c", "\u00e9\U0001f600 x" * 40, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = {r["doc_id"]: r["text_hash"] for r in neardup.fingerprints(docs, 5, 4).collect()}
+    assert own == {r["doc_id"]: r["h"] for r in docs.select("doc_id", neardup._text_hash().alias("h")).collect()}
