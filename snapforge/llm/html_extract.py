@@ -2,9 +2,10 @@
 
 A page is read once, in order, as blocks. A block inside <article> or <main> is content, one inside
 chrome - navigation, headers, footers, asides, forms, and elements whose class or id says advert,
-notice, comments and the like - is not, and everything else is open. Pages without content blocks are
-settled by their host: over the token streams of all its pages, tokens covered by a run of RUN tokens
-or more that also stands in a page of another wording are boilerplate, and the unique runs stay.
+notice, comments and the like - is not, and everything else is open. Open blocks, on pages with content
+blocks too, are settled by their host: over the token streams of all its pages outside content, tokens
+covered by a run of RUN tokens or more that also stands in a page of another wording are boilerplate, and
+the unique runs stay, in page order with the content.
 
 The suffix array of a host's concatenated streams is dealt out: each suffix is cut to its first RUN
 tokens, so suffixes that agree so far are neighbours and form one bucket. All that is asked of a bucket
@@ -31,6 +32,7 @@ from snapforge.llm.common import plain
 RUN = 8
 
 OPEN, CONTENT, CHROME = 0, 1, 2
+PARTS = pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string())]))
 
 #: Elements and words of class or id that make a region chrome.
 CHROME_TAGS = frozenset("nav header footer aside form menu dialog button select datalist fieldset iframe object svg math canvas audio video map".split())
@@ -138,30 +140,38 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def runs(found: list[tuple[int, str]], run: int = RUN) -> tuple[list[str], list[bool], np.ndarray]:
-    """Tokens of a page's blocks outside its content, which of them are chrome, and the hash of the run from each token on."""
-    words, chrome, marks = [], [], []
-    for kind, text in found:
-        if kind != CONTENT:
-            own = text.split(" ")
-            words += own
-            chrome += [kind == CHROME] * len(own)
-            marks += own
+def runs(found: list[tuple[int, str]], run: int = RUN) -> np.ndarray:
+    """The hash of the run from each token on, over a page's tokens outside its content."""
+    words = [w for kind, text in found if kind != CONTENT for w in text.split(" ")]
     if len(words) < run:
-        return words, chrome, np.zeros(0, np.int64)
-    key = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in marks), np.uint64, len(marks))
+        return np.zeros(0, np.int64)
+    key = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = len(key) - run + 1
     out = np.zeros(n, np.uint64)
     for j in range(run):
         out = (out ^ key[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(32)
-    return words, chrome, out.view(np.int64)
+    return out.view(np.int64)
+
+
+def candidates(found: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """(at, text) of what may stay of a page, in its order: content blocks at -1, and open tokens at their place among the tokens outside content."""
+    out, at = [], 0
+    for kind, text in found:
+        if kind == CONTENT:
+            out.append((-1, text))
+            continue
+        words = text.split(" ")
+        if kind == OPEN:
+            out += zip(range(at, at + len(words)), words, strict=True)
+        at += len(words)
+    return out
 
 
 def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
     """page_id, url, text and n_chars of every page.
 
-    Null html is empty, and empty pages have the empty text. Pages without content blocks keep their
+    Null html is empty, and empty pages have the empty text. Pages keep their content and those
     open tokens that no repeated run covers; on a host whose pages all say the same, nothing repeats
     in another wording and all of it stays. Repeated rows, null ids and null urls stay; pages without a
     host are one host. Columns other
@@ -171,41 +181,48 @@ def extract(pages: DataFrame, run: int = RUN) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The pages that have content blocks, or no blocks at all: settled by markup."""
+        """The pages without open blocks: settled by markup."""
         for batch in batches:
             of, text = [], []
             for i, page in enumerate(plain(batch, "html")):
                 found = blocks(page.as_py() or "")
-                if not found or any(k == CONTENT for k, _ in found):
+                if all(k != OPEN for k, _ in found):
                     of.append(i)
                     text.append(" ".join(t for k, t in found if k == CONTENT))
             at = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays([plain(batch, "page_id").take(at), plain(batch, "url").take(at), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Host, wording and run hashes of every page's tokens outside content; the tokens themselves where no content is."""
+        """Host, wording and run hashes of every page's tokens outside content; where blocks are open, also what may stay."""
         for batch in batches:
-            host, wording, keys, open_words = [], [], [], []
+            host, wording, form, keys, parts = [], [], [], [], []
             urls = plain(batch, "url").to_pylist()
             for i, page in enumerate(plain(batch, "html")):
                 found = blocks(page.as_py() or "")
-                words, chrome, hashed = runs(found, run)
-                settled = not found or any(k == CONTENT for k, _ in found)
+                hashed = runs(found, run)
                 host.append(re.split("[/?#]", (urls[i] or "").partition("://")[2], maxsplit=1)[0].lower())
                 wording.append(xxhash.xxh3_64_intdigest("\n".join(t for _, t in found)) - (1 << 63))
+                form.append(xxhash.xxh3_64_intdigest("\n".join(f"{k == CONTENT:d}{t}" for k, t in found)) - (1 << 63))
                 keys.append(hashed)
-                open_words.append(None if settled else [None if c else w for w, c in zip(words, chrome, strict=True)])
-            yield pa.RecordBatch.from_arrays([plain(batch, "page_id"), plain(batch, "url"), pa.array(host), pa.array(wording, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(open_words, pa.list_(pa.string()))], names=["page_id", "url", "host", "wording", "keys", "words"])
+                parts.append(candidates(found) if any(k == OPEN for k, _ in found) else None)
+            yield pa.RecordBatch.from_arrays([plain(batch, "page_id"), plain(batch, "url"), pa.array(host), pa.array(wording, pa.int64()), pa.array(form, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(parts, PARTS)], names=["page_id", "url", "host", "wording", "form", "keys", "parts"])
+
+    def uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts that remain: content, and open tokens that no run from a position of `covered` reaches over."""
+        for batch in batches:
+            text = []
+            for parts, covered in zip(batch.column("parts"), batch.column("covered"), strict=True):
+                gone = {k + j for k in covered.as_py() or () for j in range(run)}
+                text.append(" ".join(x["text"] for x in parts.as_py() if x["at"] not in gone))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
     settled = rows.mapInArrow(contents, f"page_id {kind}, url string, text string")
-    stream = rows.mapInArrow(streams, f"page_id {kind}, url string, host string, wording bigint, keys array<bigint>, words array<string>")
-    unsettled = stream.where("words IS NOT NULL")
+    stream = rows.mapInArrow(streams, f"page_id {kind}, url string, host string, wording bigint, form bigint, keys array<bigint>, parts array<struct<at:int,text:string>>")
+    unsettled = stream.where("parts IS NOT NULL")
     suffixes = stream.select("host", "wording", F.explode("keys").alias("key"))
     repeated = suffixes.groupBy("host", "key").agg(F.min("wording").alias("a"), F.max("wording").alias("b")).where("a <> b").select("host", "key")
-    asked = unsettled.select("host", "wording", F.posexplode("keys").alias("at", "key")).distinct()
-    covered = asked.join(repeated, ["host", "key"]).groupBy("host", "wording").agg(F.sort_array(F.collect_set("at")).alias("covered"))
-    left = unsettled.join(covered.withColumnsRenamed({"host": "_h", "wording": "_w"}), (F.col("host") == F.col("_h")) & (F.col("wording") == F.col("_w")), "left")
-    free = lambda i: ~F.exists(F.sequence(F.greatest(i - (run - 1), F.lit(0)), i), lambda k: F.array_contains(F.col("covered"), k))
-    keep = F.filter("words", lambda w, i: w.isNotNull() & (F.col("covered").isNull() | free(i)))
-    rest = left.select("page_id", "url", F.array_join(keep, " ").alias("text"))
+    asked = unsettled.select("host", "form", F.posexplode("keys").alias("at", "key")).distinct()
+    covered = asked.join(repeated, ["host", "key"]).groupBy("host", "form").agg(F.collect_set("at").alias("covered"))
+    left = unsettled.join(covered.withColumnsRenamed({"host": "_h", "form": "_f"}), (F.col("host") == F.col("_h")) & (F.col("form") == F.col("_f")), "left")
+    rest = left.select("page_id", "url", "parts", "covered").mapInArrow(uncovered, f"page_id {kind}, url string, text string")
     return settled.unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))

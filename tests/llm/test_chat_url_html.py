@@ -107,3 +107,17 @@ def test_repeated_runs_go(spark):
         assert got[i] == f"s{i}tory {i} says {' '.join(f'w{i}x{k}' for k in range(20))}"
     assert got[10].startswith("home news") and got[11] == "" and got[None] == "kept" and got[12] == ""
     assert all(r["n_chars"] == len(r["text"]) for r in out)
+
+
+def test_open_blocks_beside_content(spark):
+    """A page whose body stands outside its <article> keeps it, in page order; what its host repeats goes."""
+    menu = "<div>home news sport weather travel culture science health</div>"
+    body = lambda i: " ".join(f"b{i}x{k}" for k in range(12))
+    rows = [(i, f"http://h.org/{i}", f"{menu}<p>f{i}irst {i}</p><article>teaser {i}</article><div>{body(i)}</div><nav>menu {i}</nav><main>end {i}</main>{menu}") for i in range(3)]
+    rows += [(7, "http://h.org/7", rows[0][2].replace("article>", "p>"))]  # the wording of page 0, with less content
+    out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    got = {r["page_id"]: r["text"] for r in out}
+    assert len(out) == 4
+    for i in range(1, 3):
+        assert got[i] == f"f{i}irst {i} teaser {i} {body(i)} end {i}"
+    assert got[7] == got[0] == f"f0irst 0 teaser 0 {body(0)} end 0"
