@@ -88,6 +88,23 @@ def probe_clusters(query: np.ndarray, centroids: np.ndarray, num_probes: int = 1
     return [int(i) for i in np.argsort(distances(query[None], centroids, metric)[0], kind="stable")[: max(1, num_probes)]]
 
 
+def assign_probes(vector: Column, centroids: np.ndarray, num_probes: int = 1, metric: str = "l2") -> Column:
+    """probe_clusters for a column: an array of shards. Null for a null vector."""
+    metric = metric_name(metric)
+
+    @F.arrow_udf("array<int>")
+    def nearest(column: pa.Array) -> pa.Array:
+        known = column.is_valid().to_numpy(zero_copy_only=False)
+        out: list[list[int] | None] = [None] * len(column)
+        if known.any():
+            d = distances(matrix(column.filter(pa.array(known)), centroids.shape[1]), centroids, metric)
+            for i, line in zip(np.flatnonzero(known), np.argsort(d, axis=1, kind="stable")[:, : max(1, num_probes)].tolist(), strict=True):
+                out[i] = line
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return nearest(vector)
+
+
 def probe_lsh(query: np.ndarray, planes: np.ndarray, num_shards: int, num_probes: int = 1) -> list[int]:
     """The query's shard, then those of codes that differ in one bit, bit 0 first; each once."""
     code = int(lsh_codes(query[None], planes)[0])

@@ -1,4 +1,9 @@
-"""Registered queries of the snapshot engine over the test tables, and their SQL. All run over whole tables."""
+"""Registered queries of the snapshot engine over the test tables, and their SQL.
+
+All run over whole tables, but six vector searches ask only their first ASKED vectors: knn_l2, knn_cosine,
+knn_dot_product, knn_probed, knn_filtered_shard and unified_search_hydrate, whose SQL fixes that. The
+searches named ..._every_50th ask every row whose id is divisible by 50.
+"""
 
 from __future__ import annotations
 
@@ -311,6 +316,8 @@ def snapshot_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The first vectors of the table serve as centroids, planes and queries, so that SQL can name them too.
 CENTROIDS, PLANES, ASKED, K = 16, 8, 20, 10
+#: Searches over the whole table ask every row whose id is divisible by this.
+EVERY = 50
 
 
 def _distance_sql(a: str, b: str, metric: str) -> str:
@@ -397,6 +404,53 @@ def vector_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("a", "b", F.round(distance(F.col("x"), F.col("y"), "cosine"), 6).alias("d"))
 
 
+def _every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries of a search over the whole table: they grow with it."""
+    return _vectors(spark, sf_dir).where(F.col("vec_id") % EVERY == 0).withColumnRenamed("vec_id", "query_id")
+
+
+def _ranked_sql(scored: str, columns: str = "") -> str:
+    return f"SELECT query_id, rank, vec_id, round(score, 6) AS score{columns} FROM (SELECT query_id, vec_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id))::INT AS rank FROM ({scored}))"
+
+
+EVERY_SQL = f"q AS (SELECT vec_id AS query_id, e AS q FROM v WHERE vec_id % {EVERY} = 0)"
+
+
+def _knn_every(metric: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return vectors.exact_search(_vectors(spark, sf_dir), _every(spark, sf_dir), K, metric).withColumn("score", F.round("score", 6))
+
+    run.__name__ = f"knn_{metric}_every_50th"
+    query(f"WITH {VECTORS}, {EVERY_SQL} {_ranked_sql(f'SELECT query_id, vec_id, {_distance_sql('q', 'e', metric)} AS score FROM q, v')} WHERE rank <= {K}")(run)
+
+
+for _metric in ("l2", "cosine", "dot_product"):
+    _knn_every(_metric)
+
+
+@query(f"WITH {VECTORS}, c AS (SELECT vec_id AS centroid, e AS c FROM v WHERE vec_id < {CENTROIDS}), d AS (SELECT vec_id, e, centroid, {_distance_sql('e', 'c', 'l2')} AS d FROM v, c), s AS (SELECT vec_id, any_value(e) AS e, arg_min(centroid, (d, centroid)) AS shard FROM d GROUP BY vec_id), p AS (SELECT vec_id AS query_id, e AS q, centroid AS shard FROM d WHERE vec_id % {EVERY} = 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, centroid) <= 3) {_ranked_sql(f'SELECT query_id, vec_id, {_distance_sql('q', 'e', 'l2')} AS score FROM p JOIN s USING (shard)')} WHERE rank <= {K}")
+def knn_probed_every_50th(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes come from the plan; only the centroids are on the driver."""
+    centers = _first(spark, sf_dir, CENTROIDS)
+    own = _vectors(spark, sf_dir).withColumn("shard", vectors.assign_cluster(F.col("embedding"), centers))
+    asked = _every(spark, sf_dir).withColumn("shards", vectors.assign_probes(F.col("embedding"), centers, 3))
+    return vectors.exact_search(own, asked, K).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {VECTORS}, s AS (SELECT v.*, vec_id % 4 AS shard FROM v), {EVERY_SQL} {_ranked_sql(f'SELECT query_id, vec_id, {_distance_sql('q', 'e', 'cosine')} AS score FROM q, s WHERE shard IN (1, 3)')} WHERE rank <= {K}")
+def knn_filtered_shard_every_50th(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Explicit shards. The queries are shipped: two shards would be two keys of a join."""
+    own = _vectors(spark, sf_dir).withColumn("shard", (F.col("vec_id") % 4).cast("int")).where(F.col("shard").isin(1, 3))
+    asked = _every(spark, sf_dir).withColumn("shards", F.array(F.lit(1), F.lit(3)))
+    return vectors.exact_search(own, asked, K, "cosine").withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {VECTORS}, {EVERY_SQL} {_ranked_sql(f'SELECT query_id, vec_id, {_distance_sql('q', 'e', 'l2')} AS score FROM q, v', ', lang, n_chars')} JOIN documents ON doc_id = vec_id WHERE rank <= {K}")
+def unified_search_hydrate_every_50th(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = vectors.exact_search(_vectors(spark, sf_dir), _every(spark, sf_dir), K).withColumn("score", F.round("score", 6))
+    return hits.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "n_chars"), "vec_id")
+
+
 @query()
 def kmeans_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centroids of a bounded sample. Seeds are drawn at random, so there is no SQL."""

@@ -7,7 +7,9 @@ from snapforge.functions.vectors import distance, distances
 from snapforge.operators import vectors
 from snapforge.operators.sharding import HashSharding
 from snapforge.operators.snapshot import build_snapshot
+from snapforge.plans.catalog import QUERIES
 from snapforge.sources.reader import Snapshot
+from tests.conftest import CHECKED
 
 
 def table(spark, x):
@@ -93,3 +95,18 @@ def test_unified_snapshot(spark, tmp_path):
     assert hits[0]["vec_id"] == 7 and hits[0]["payload"] == '{"label":"l7"}' and bytes(hits[0]["v"]) == b"l7" and s.get(7) == b"l7"
     only = s.search(x[7].tolist(), k=50, shards=[0]).collect()
     assert {s.route_key(r["vec_id"]) for r in only} == {0}
+
+
+def test_probes_in_the_plan(spark):
+    x = np.random.default_rng(3).standard_normal((60, 8)).astype(np.float32)
+    centers = np.vstack([x[:5], x[:1]])  # two equally near ones
+    rows = table(spark, x).union(spark.createDataFrame([(99, None)], "vec_id long, embedding array<float>"))
+    got = {r[0]: r[1] for r in rows.select("vec_id", vectors.assign_probes(F.col("embedding"), centers, 3)).collect()}
+    assert got == {**{i: vectors.probe_clusters(v, centers, 3) for i, v in enumerate(x)}, 99: None}
+
+
+@pytest.mark.parametrize("name", ["knn_l2", "knn_cosine", "knn_dot_product", "knn_probed", "knn_filtered_shard", "unified_search_hydrate"])
+def test_queries_grow_with_the_table(spark, name):
+    own = spark.read.parquet(f"{CHECKED}/embeddings.parquet")
+    want = {r[0] for r in own.where("vec_id % 50 = 0").select("vec_id").collect()}
+    assert len(want) == 10 and {r["query_id"] for r in QUERIES[f"{name}_every_50th"](spark, CHECKED).collect()} == want
