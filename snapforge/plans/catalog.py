@@ -453,8 +453,8 @@ def unified_search_hydrate_every_50th(spark: SparkSession, sf_dir: str) -> DataF
 
 @query()
 def kmeans_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centroids of a bounded sample. Seeds are drawn at random, so there is no SQL."""
-    centers = vectors.kmeans(vectors.sample_for_training(_vectors(spark, sf_dir), 10_000, 1.0), 8)
+    """Centroids of all vectors. Seeds are drawn at random, so there is no SQL."""
+    centers = vectors.kmeans_at_scale(_vectors(spark, sf_dir), 8)
     return spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)], "centroid int, center array<float>")
 
 

@@ -110,3 +110,12 @@ def test_queries_grow_with_the_table(spark, name):
     own = spark.read.parquet(f"{CHECKED}/embeddings.parquet")
     want = {r[0] for r in own.where("vec_id % 50 = 0").select("vec_id").collect()}
     assert len(want) == 10 and {r["query_id"] for r in QUERIES[f"{name}_every_50th"](spark, CHECKED).collect()} == want
+
+
+def test_kmeans_query_trains_on_all_vectors(spark, tmp_path):
+    """A table stored by cluster, whose last cluster begins behind row 10,000: it gets a centroid too."""
+    x = np.random.default_rng(1).normal(0, 1, (10_100, 4)).astype(np.float32)
+    x[10_000:] += 1000
+    table(spark, x).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    centers = [r["center"] for r in QUERIES["kmeans_train"](spark, str(tmp_path)).collect()]
+    assert len(centers) == 8 and any(min(c) > 900 for c in centers)
