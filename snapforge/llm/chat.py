@@ -33,7 +33,8 @@ def formatted(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
     Takes (conv_id, turn, role, text). Turns go by `turn`, nulls first; ties by role, then text; repeated
     rows stay. Null role and null text are empty. Null conv_id: one conversation. Other columns are left
-    out. Empty table: empty result. One conversation's turns meet in one task, as they do in its one string.
+    out, whatever their names. Empty table: empty result. Very long texts stay whole. One conversation's
+    turns meet in one task, as they do in its one string.
     """
     own = F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(own)).alias("t"))
@@ -62,9 +63,23 @@ def parsed(text: Column) -> Column:
     return F.flatten(F.transform(F.filter(_split(text, TURN), lambda b: b != ""), block))
 
 
-def digests(conversations: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """What is read back of the formatted conversations: see op6's contract. The text under the loss is taken by its turns' marks."""
-    rows = conversations.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), parsed(F.col("formatted")).alias("t"))
-    loss = F.array_join(F.transform(F.filter("t", lambda x: x["role"] == loss_role), lambda x: x["text"]), "")
+def under_loss(formatted_text: Column, segments: Column) -> Column:
+    """The texts under the loss mask, in order: formatted_text cut by the mask's run lengths, escapes undone."""
+    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<string>").alias("said"))
+
+    def step(held: Column, run: Column) -> Column:
+        own = F.substring(formatted_text, held["at"].cast("int"), run["n_chars"].cast("int"))
+        return F.struct((held["at"] + run["n_chars"]).alias("at"), F.when(run["loss"], F.array_append(held["said"], own)).otherwise(held["said"]).alias("said"))
+
+    return F.transform(F.aggregate(segments, start, step, lambda held: held["said"]), unescape)
+
+
+def digests(conversations: DataFrame) -> DataFrame:
+    """What is read back of formatted(): turns by parsing the text, the text under the loss by the mask. See op6's contract.
+
+    One row for each conversation, a null conv_id's included. Empty and very long texts are read back
+    whole. Empty table: empty result.
+    """
+    rows = conversations.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), parsed(F.col("formatted")).alias("t"), F.array_join(under_loss(F.col("formatted"), F.col("segments")), "").alias("loss"))
     said = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    return rows.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+    return rows.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")

@@ -144,7 +144,13 @@ def cosine_hash(samples: np.ndarray) -> bytes:
 
 
 def with_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """docs with their texts as PNG images in a binary column. Null is the empty text: one row of bytes 32."""
+    """docs with their texts as PNG images in a binary column. Null is the empty text: one row of bytes 32.
+
+    A column of that name already there is an error, as its values would be lost. Rows stay as they are,
+    repeated ones and null ids too; very long texts become high images.
+    """
+    if media in docs.columns:
+        raise ValueError(f"there is a column {media} already")
 
     @F.arrow_udf("binary")
     def png(column: pa.Array) -> pa.Array:
@@ -179,6 +185,10 @@ STRINGS = ("payload_sha256", "media_sha256", "feature")
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes of the text's UTF-8, and what is read back of its image. Equal texts give equal values."""
+    """doc_id, n_bytes of the text's UTF-8, and what is read back of its image.
+
+    Equal texts give equal values; null is the empty text, long texts are whole. Repeated rows and null
+    ids have a row each. Columns other than doc_id and text are left out. Empty table: empty result.
+    """
     rows = with_media(docs.select("doc_id", "text"), media="_media")
     return rows.select("doc_id", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_bytes"), read_back(F.col("_media")).alias("_r")).select("doc_id", "n_bytes", "_r.*")

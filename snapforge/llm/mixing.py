@@ -128,9 +128,11 @@ def mix(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (3.0, 1.0, 2.0
 
 
 def mixed(docs: DataFrame, weights: DataFrame | tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
-    """The documents of the mix, columns as they came, each as often as the mix takes it (whole documents).
+    """The documents of the mix, columns as they came, whatever their names, each as often as the mix takes it (whole documents).
 
-    A document without words is never taken.
+    A document without words (null, empty) is never taken. Null sources are one source, the last. Rows
+    that repeat an id are documents of their own, null ids too; those that tie as the last are taken or
+    left together. Long texts count whole. Empty table: empty result.
     """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     own = [F.col(names[docs.columns.index(c)]).alias(c) for c in ("doc_id", "text", "source")]

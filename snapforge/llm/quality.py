@@ -105,8 +105,8 @@ def measured(text: Column) -> Column:
 def ledger(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """`keep`, the measurements and `failures`, the bits of all rules that a document fails.
 
-    Null and empty texts measure 0 and fail few_words. Repeated rows and null ids stay rows of their
-    own. Columns of docs outside `keep` are left out; a kept column that is named like a measurement
+    Null and empty texts measure 0 and fail few_words; very long ones are measured whole. Repeated rows
+    and null ids stay rows of their own. Empty table: empty result. Columns of docs outside `keep` are left out; a kept column that is named like a measurement
     is an error, as its value would be lost.
     """
     if clash := set(keep) & {*MEASURES, "failures"}:
@@ -141,13 +141,12 @@ def ablation(ledger_rows: DataFrame, policy: str | tuple[str, ...] = "v1") -> Da
 
 
 def kept_documents(docs: DataFrame, policy: str = "v1", text: str = "text") -> DataFrame:
-    """The rows that pass the base rules and the policy, columns as they came."""
+    """The rows whose failure bits pass the base rules and the policy, columns as they came, whatever their names.
+
+    Null, empty and wordless texts fail few_words, so they go. Repeated rows stay or go together; rows
+    with null ids are judged by their text. Very long texts are measured whole. Empty table: empty result.
+    """
     names = [f"_c{i}" for i in range(len(docs.columns))]
-    rows = docs.toDF(*names).withColumn("_m", measured(F.col(names[docs.columns.index(text)])))
-    failed = [F.expr(rule) for _, rule in RULES]
-    flat = rows.select(*names, "_m.*")
-    rejected = mask("base") | mask(policy)
-    for i, rule in enumerate(failed):
-        if rejected >> i & 1:
-            flat = flat.where(~rule)
-    return flat.select(*names).toDF(*docs.columns)
+    rows = docs.toDF(*names)
+    found = ledger(rows, tuple(names), names[docs.columns.index(text)])
+    return found.where(passes(F.col("failures"), "base") & passes(F.col("failures"), policy)).select(*names).toDF(*docs.columns)

@@ -19,6 +19,8 @@ BLOCK = 1024
 
 
 def n_tokens(text: Column, vocabulary: str = VOCABULARY) -> Column:
+    """How many ids each whole text has; null and empty texts have none."""
+
     @F.arrow_udf("bigint")
     def count(column: pa.Array) -> pa.Array:
         ids = encoder(vocabulary).ids
@@ -28,7 +30,10 @@ def n_tokens(text: Column, vocabulary: str = VOCABULARY) -> Column:
 
 
 def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(length, n_docs) over all documents. Null and empty texts have length 0. Repeated rows count each."""
+    """(length, n_docs) over all documents. Null and empty texts have length 0, long ones their full length.
+
+    Repeated rows and rows with null ids count each. Other columns are not read. Empty table: no rows.
+    """
     return docs.select(n_tokens(F.col(text), vocabulary).alias("length")).groupBy("length").agg(F.count("*").alias("n_docs"))
 
 

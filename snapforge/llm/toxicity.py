@@ -1,9 +1,13 @@
 """Toxicity by a factorization machine over hashed terms.
 
-score = sigmoid(w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), x_i: does the text have term i. The
-pairwise part, of rank RANK, learns what linear weights can't: an insult counts more beside a group's
-name than alone. It is trained here, on at most MAX_ROWS labelled documents; counting and scoring see
-every document, whole.
+score = sigmoid(w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), x_i: does the text have term i. Terms
+are words and the beginnings of words, hashed to SPACE slots, and every slot that a training text
+fills is a variable of the fit; none is left out beforehand. Linear weights are held back by an L1
+penalty, which leaves most of them at exactly 0. A term has factors of rank RANK while its linear
+weight is not 0, as in memory-adaptive factorization machines, and they learn what linear weights
+can't: an insult counts more beside a group's name than alone.
+
+The fit sees at most MAX_ROWS labelled documents; scoring sees every document, whole.
 """
 
 from __future__ import annotations
@@ -24,26 +28,28 @@ from snapforge.llm.common import texts
 SPACE = 1 << 20
 #: Labelled rows that a model is fitted on, at most: those with the least hash of their id.
 MAX_ROWS = 10_000
-#: Terms that a model has, at most: those that labels differ most on.
-MAX_TERMS = 512
 RANK = 4
-#: Characters of the runs that a word is also known by: they carry over to inflected and compound words.
-GRAM = 4
-#: Standard errors that a term's share must differ by between the labels.
-LEAST_Z = 5.0
+#: Lengths of the beginnings that a word is also known by: they carry over to inflected and compound words.
+BEGINNINGS = (3, 4, 5, 6)
+#: The L1 penalty, in standard deviations of the number of toxic texts among random ones.
+PENALTY = 0.2
+#: What a factor's slope is increased by for each unit of the factor.
+DECAY = 0.05
+#: Passes and step sizes of the linear fit and of the joint one, and the texts of a step.
+LINEAR, JOINT, BATCH = (12, 0.1), (20, 0.05), 64
 #: Stripped from both ends of a word.
 MARKS = b".,;:!?\"'()[]{}<>|#*$%&@~^_=+-/\\`"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def slots_of(word: bytes) -> tuple[int, ...]:
-    """Where a word's terms are hashed to: itself and its runs of GRAM characters, without the marks around it."""
+    """Where a word's terms are hashed to: itself and its beginnings, without the marks around it."""
     term = word.strip(MARKS)
     if not term:
         return ()
     letters = term.decode("utf-8", "surrogatepass")
-    grams = {letters[i : i + GRAM] for i in range(len(letters) - GRAM + 1)} if len(letters) > GRAM else ()
-    return tuple({xxhash.xxh3_64_intdigest(x) % SPACE for x in (b"=" + term, *(g.encode("utf-8", "surrogatepass") for g in grams))})
+    heads = {letters[:n] for n in BEGINNINGS if n < len(letters)}
+    return tuple({xxhash.xxh3_64_intdigest(x) % SPACE for x in (b"=" + term, *(b"<" + h.encode("utf-8", "surrogatepass") for h in heads))})
 
 
 class Slots(dict):
@@ -67,6 +73,35 @@ class Slots(dict):
         return sorted(out)
 
 
+def margins(at: np.ndarray, sizes: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's sum before the sigmoid, and its sums of factors. at: places of all texts' terms, one text after the other.
+
+    A text's sums don't depend on the texts beside it, to the last bit.
+    """
+    n, of = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    z, held = bias + np.bincount(of, w[at], n), np.zeros((n, v.shape[1]))
+    for k in range(v.shape[1]):
+        own = v[at, k]
+        held[:, k] = np.bincount(of, own, n)
+        z += 0.5 * (held[:, k] ** 2 - np.bincount(of, own**2, n))
+    return z, held
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
+
+
+def gradient(at: np.ndarray, sizes: np.ndarray, labels: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The logistic loss's slopes, summed over texts, by bias, linear weights and factors."""
+    z, held = margins(at, sizes, bias, w, v)
+    slope = sigmoid(z) - labels
+    each, of = np.repeat(slope, sizes), np.repeat(np.arange(len(sizes)), sizes)
+    dv = np.zeros_like(v)
+    for k in range(v.shape[1]):
+        dv[:, k] = np.bincount(at, each * (held[of, k] - v[at, k]), len(w))
+    return float(slope.sum()), np.bincount(at, each, len(w)), dv
+
+
 @dataclass(frozen=True)
 class Model:
     bias: float
@@ -76,62 +111,80 @@ class Model:
 
     def scores(self, rows: list[list[int]]) -> np.ndarray:
         """Scores of texts by the places of their terms among the model's slots."""
-        of = np.repeat(np.arange(len(rows)), np.fromiter(map(len, rows), np.int64, len(rows)))
-        out = np.full(len(rows), self.bias)
-        if len(of):
-            at = np.fromiter(chain.from_iterable(rows), np.int64, len(of))
-            sums = lambda x: np.stack([np.bincount(of, x[:, k], len(rows)) for k in range(x.shape[1])], axis=1)
-            v = self.factors[at]
-            out += np.bincount(of, self.linear[at], len(rows)) + 0.5 * (sums(v) ** 2 - sums(v**2)).sum(axis=1)
-        return 1.0 / (1.0 + np.exp(-np.clip(out, -40, 40)))
-
-
-def choose(flat: np.ndarray, of: np.ndarray, n1: int, n0: int) -> np.ndarray:
-    """The slots whose share differs most between the labels, ascending. of: the label of each term's text."""
-    has1, has0 = np.bincount(flat[of == 1], minlength=SPACE), np.bincount(flat[of == 0], minlength=SPACE)
-    share = (has1 + has0) / (n1 + n0)
-    z = np.abs(has1 / n1 - has0 / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-    z[(has1 + has0 < 3) | (share >= 1)] = 0
-    best = np.argsort(-z, kind="stable")[:MAX_TERMS]
-    return np.sort(best[z[best] >= LEAST_Z])
-
-
-def fit(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, seed: int = 7, epochs: int = 40, batch: int = 128, rate: float = 0.1, decay: float = 1e-4) -> Model:
-    """Adagrad on the logistic loss. flat: the terms of all texts, one text after the other; sizes: how many each has.
-
-    Without rows of both labels the model is its bias: the labels' share, half a row added to each.
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        at = np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum()))
+        return sigmoid(margins(at, sizes, self.bias, self.linear, self.factors)[0])
+
+
+class Weights:
+    """Linear weights by regularised dual averaging: each follows its mean slope so far, less the L1 penalty, at Adagrad's rate."""
+
+    def __init__(self, n: int, rate: float, penalty: float = 0.0, start: float = 0.0):
+        self.total, self.seen, self.steps = np.zeros(n), np.full(n, 1e-8), 0
+        self.rate, self.penalty, self.start = rate, penalty, start
+
+    def of(self, own: np.ndarray | slice = slice(None)) -> np.ndarray:
+        total = self.total[own]
+        return self.start - self.rate * np.sign(total) * np.maximum(np.abs(total) - self.penalty * self.steps, 0.0) / np.sqrt(self.seen[own])
+
+    def step(self, own: np.ndarray | slice, slope: np.ndarray) -> None:
+        self.total[own] += slope
+        self.seen[own] += slope * slope
+        self.steps += 1
+
+
+def batches(at: np.ndarray, sizes: np.ndarray, labels: np.ndarray, size: int = BATCH) -> list[tuple[np.ndarray, ...]]:
+    """(terms, places among them, sizes, labels) of so many texts at a time."""
+    ends, out = np.concatenate([[0], np.cumsum(sizes)]), []
+    for i in range(0, len(sizes), size):
+        own, places = np.unique(at[ends[i] : ends[min(i + size, len(sizes))]], return_inverse=True)
+        out.append((own, places.astype(np.int32), sizes[i : i + size], labels[i : i + size].astype(np.float64)))
+    return out
+
+
+def fit(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rank: int = RANK, penalty: float = PENALTY, seed: int = 7) -> Model:
+    """A model of texts. flat: the terms of all texts, one text after the other; sizes: how many each has.
+
+    First linear weights alone, then bias, weights and factors together, by passes over batches of texts.
+    rank 0 gives the linear model. Without rows of both labels the model is its bias: the labels'
+    share, half a row added to each.
     """
     n, n1 = len(labels), int((labels == 1).sum())
-    bias = float(np.log((n1 + 0.5) / (n - n1 + 0.5)))
-    slots = choose(flat, np.repeat(labels, sizes), n1, n - n1) if 0 < n1 < n else np.zeros(0, np.int64)
-    if not len(slots):
-        return Model(bias, slots, np.zeros(0), np.zeros((0, RANK)))
-    place = np.full(SPACE, -1, np.int16)
-    place[slots] = np.arange(len(slots))
+    bias = Weights(1, LINEAR[1], start=float(np.log((n1 + 0.5) / (n - n1 + 0.5))))
+    if not 0 < n1 < n:
+        return Model(bias.start, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, rank)))
+    place = np.zeros(SPACE, np.int32)
+    seen = np.flatnonzero(np.bincount(flat, minlength=SPACE))
+    place[seen] = np.arange(len(seen))
+    w = Weights(len(seen), LINEAR[1], penalty * float(np.sqrt(n1 * (n - n1) / n)) * BATCH / n)
+
+    def run(parts: list[tuple[np.ndarray, ...]], passes: int, v: np.ndarray, rate: float) -> None:
+        order, held = np.random.default_rng(seed), np.full_like(v, 1e-8)
+        for _ in range(passes):
+            for i in order.permutation(len(parts)):
+                own, places, counts, y = parts[i]
+                db, dw, dv = gradient(places, counts, y, bias.of()[0], w.of(own), v[own])
+                bias.step(slice(None), np.array([db]))
+                w.step(own, dw)
+                if rank:
+                    dv += DECAY * v[own]
+                    held[own] += dv * dv
+                    v[own] -= rate * dv / np.sqrt(held[own])
+
     at = place[flat]
-    known = at >= 0
-    x = np.zeros((n, len(slots)), np.float32)
-    x[np.repeat(np.arange(n, dtype=np.int32), sizes)[known], at[known]] = 1
-    y, rng = labels.astype(np.float32), np.random.default_rng(seed)
-    w, v = np.zeros(len(slots), np.float32), rng.normal(0, 0.05, (len(slots), RANK)).astype(np.float32)
-    gw, gv, gb, b = np.full_like(w, 1e-6), np.full_like(v, 1e-6), 1e-6, np.float32(bias)
-    for _ in range(int(min(400, max(8, epochs * 10_000 / n)))):  # some 400,000 rows seen
-        order = rng.permutation(n)
-        for s in range(0, n, batch):
-            part = x[order[s : s + batch]]
-            xv = part @ v
-            z = b + part @ w + 0.5 * ((xv**2) - part @ (v**2)).sum(axis=1)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[order[s : s + batch]]) / len(part)
-            dw = part.T @ g + decay * w
-            dv = part.T @ (g[:, None] * xv) - (part.T @ g)[:, None] * v + decay * v
-            db = g.sum()
-            gw += dw**2
-            gv += dv**2
-            gb += db**2
-            w -= rate * dw / np.sqrt(gw)
-            v -= rate * dv / np.sqrt(gv)
-            b -= rate * db / np.sqrt(gb)
-    return Model(float(b), slots, w.astype(float), v.astype(float))
+    run(batches(at, sizes, labels), LINEAR[0], np.zeros((len(seen), 0)), 0.0)
+    live = np.flatnonzero(w.of())
+    v = np.random.default_rng(seed).normal(0, 0.05, (len(live), rank))
+    if rank and len(live):
+        place = np.full(len(seen), -1, np.int32)
+        place[live] = np.arange(len(live))
+        at = place[at]
+        known = at >= 0
+        sizes = np.bincount(np.repeat(np.arange(n), sizes)[known], minlength=n)
+        w.total, w.seen = w.total[live], w.seen[live]
+        run(batches(at[known], sizes, labels), JOINT[0], v, JOINT[1])
+        return Model(float(bias.of()[0]), seen[live], w.of(), v)
+    return Model(float(bias.of()[0]), seen[live], w.of(live), v)
 
 
 def fold(doc_id: Column) -> Column:
@@ -151,19 +204,24 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, label: str = "toxic", max
         terms = Slots().terms
         return pa.array([terms(x) for x in texts(column)], pa.list_(pa.int32()))
 
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "y", slots(F.col("text")).alias("t"))
-    rows = rows.orderBy("doc_id", "y").toArrow()  # some 1,000 numbers of 4 bytes for each of max_rows
-    flat = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in rows["t"].chunks)])
-    return flat, pc.list_value_length(rows["t"]).to_numpy(), rows["y"].to_numpy()
+    rows = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", F.xxhash64("text").alias("h"), "y", slots(F.col("text")).alias("t")).toArrow()  # some 1,000 numbers of 4 bytes for each of max_rows
+    order = pc.sort_indices(rows.select(["doc_id", "h"]), sort_keys=[("doc_id", "ascending"), ("h", "ascending")])  # sums of floats depend on it
+    t = rows["t"].combine_chunks().take(order) if len(rows) else pa.array([], pa.list_(pa.int32()))
+    return t.flatten().to_numpy(), pc.list_value_length(t).to_numpy().astype(np.int64), rows["y"].take(order).to_numpy()
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
-    """A model of the labelled documents outside fold 0. Labels, ids, languages and sources are no inputs of a score."""
+    """A model of the labelled documents outside fold 0. Labels, ids, languages and sources are no inputs of a score.
+
+    Labelled twice, a document is toxic if one label says so. Null labels, null ids and labels without a
+    document teach nothing; repeated rows of a labelled document teach as often. Without labels of both
+    kinds all scores are the same.
+    """
     return fit(*labelled_terms(docs, labels, label, max_rows))
 
 
 def score(text: Column, model: Model) -> Column:
-    """Toxicity from 0 to 1. Null and empty texts get the score of the bias. The model has MAX_TERMS terms at most, so it is small to ship."""
+    """Toxicity from 0 to 1. Null and empty texts get the score of the bias. The model holds terms of at most MAX_ROWS texts, and of these only those with a weight, so it is small to ship."""
     held: dict = {}  # a task's words met before
 
     @F.arrow_udf("double")
@@ -175,13 +233,21 @@ def score(text: Column, model: Model) -> Column:
 
 
 def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of docs, repeated ones included. Empty table: empty result."""
+    """doc_id, held_out, score and predicted for every row of docs.
+
+    Null and empty texts: the bias's score. Long texts count whole, by their distinct terms. Null doc_id:
+    held out. Repeated rows each have a row, with one score. Columns other than doc_id and text are left
+    out, so their names can't clash. Empty table: empty result.
+    """
     rows = docs.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), score(F.col("text"), train(docs, labels, label, max_rows)).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def accepted_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows that score under the threshold, columns as they came."""
+    """The rows that score under the threshold, columns as they came, whatever their names.
+
+    Null and empty texts score as the bias does. Repeated rows stay or go together. Empty table: empty result.
+    """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names)
     return rows.where(score(F.col(names[docs.columns.index("text")]), model) < threshold).toDF(*docs.columns)

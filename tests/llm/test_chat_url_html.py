@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,7 +17,7 @@ def test_chat_round_trip(spark):
     rows += [(99, None, None, None), (None, 0, "user", "x"), (98, 1, "assistant", "a"), (98, 1, "assistant", "a")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     made = chat.formatted(df)
-    got = {r["conv_id"]: r for r in made.select("*", chat.parsed(F.col("formatted")).alias("back")).collect()}
+    got = {r["conv_id"]: r for r in made.select("*", chat.parsed(F.col("formatted")).alias("back"), chat.under_loss(F.col("formatted"), F.col("segments")).alias("said")).collect()}
     for i in {r[0] for r in rows}:
         want = sorted(((t is not None, t or 0, role or "", x or "") for c, t, role, x in rows if c == i))
         r = got[i]
@@ -25,6 +28,8 @@ def test_chat_round_trip(spark):
                 loss.append(r["formatted"][at : at + s["n_chars"]])
             at += s["n_chars"]
         assert at == len(r["formatted"])
+        said = [x for _, _, role, x in want if role == "assistant"]
+        assert [re.sub(r"([<\[])\\(\\*)(\||/?s>|/?INST\])", r"\1\2\3", x) for x in loss] == said == r["said"]
         for x in ("</s>", "[INST]", "[/INST]"):
             assert x not in r["formatted"]
         assert r["formatted"].count("<|end|>") == r["formatted"].count("<|turn|>")
@@ -33,6 +38,22 @@ def test_chat_round_trip(spark):
     assert (one["n_turns"], one["loss_chars"]) == (2, 2)
 
 
+def test_loss_figures_come_from_the_mask(spark):
+    """With the mask moved to other runs, the digests follow it and not the roles."""
+    df = spark.createDataFrame([(1, 1, "user", "one</s>"), (1, 2, "assistant", "two"), (1, 3, "assistant", "three")], "conv_id long, turn long, role string, text string")
+    made = chat.formatted(df)
+    first = made.withColumn("segments", F.transform("segments", lambda s, i: s.withField("loss", i == 1)))
+    assert [r["loss_chars"] for r in chat.digests(made).union(chat.digests(first)).collect()] == [8, 7]
+
+
+def test_chat_odd_tables(spark):
+    long = "<|end|>ab " * 100_000
+    df = spark.createDataFrame([(1, 1, "assistant", long, 5), (1, 2, "assistant", "x", 6), (2, 1, "user", "y", 7)], "conv_id long, turn long, role string, text string, formatted int")
+    got = {r["conv_id"]: r for r in chat.digests(chat.formatted(df)).collect()}
+    assert got[1]["loss_chars"] == len(long) + 1 and got[1]["n_turns"] == 2 and got[2]["loss_chars"] == 0
+    assert got[1]["loss_sha256"] == hashlib.sha256((long + "x").encode()).hexdigest()
+
+
 def test_chat_plan_is_native(spark):
     df = spark.createDataFrame([(1, 1, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = chat.digests(chat.formatted(df))._jdf.queryExecution().toString()
