@@ -2,26 +2,104 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Salts that the rows of one key are dealt over in joins; a set of salts is a long.
+SALTS = 64
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that all executors share.
+def salt(*columns: Column | str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
 
-    spark.checkpoint.dir names that folder; a temporary one is set only where the session has none,
-    as in tests. A lost executor costs a reread of these files, not a rerun of what made them.
-    """
-    sc = df.sparkSession.sparkContext
+
+def salts(column: Column) -> Column:
+    """An aggregate: which salts occur, one bit each."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), column))
+
+
+def each_salt(held: Column) -> Column:
+    """A row for each salt of salts(). So a side that is joined by key and salt has as many rows of a key as its other side can be split into, and a rare key has one."""
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit(held, i) == 1))
+
+
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right, which has a row for each key at most. Rows of left that share a key are dealt over salts of `by`, and right's row goes to each salt that has some, so no key meets in one task."""
+    dealt = left.withColumn("_salt", salt(*by))
+    need = dealt.select(*keys, "_salt").distinct().join(right, keys)
+    return dealt.join(need, [*keys, "_salt"], how).drop("_salt")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session may lack it, as in tests; elsewhere a folder of one machine would lose data."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if folder is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame, forget: bool = False) -> DataFrame:
+    """df, computed once and kept in the folder that all executors share. A lost executor costs a reread of these files, not a rerun of what made them.
+
+    The optimizer goes on knowing what holds for the rows and how they are dealt. In a loop of joins what it
+    knows of each round multiplies, until planning takes longer than the work: `forget` drops it.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    kept = df.checkpoint(eager=True)
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept._jdf.logicalPlan().rdd(), kept._jdf.schema(), False), spark) if forget else kept
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete the files of checkpointed frames that nothing reads any more."""
+    for df in frames:
+        at = None if df is None else df._jdf.logicalPlan().rdd().getCheckpointFile()
+        if at is not None and at.isDefined():
+            delete(df.sparkSession, at.get())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def shipped(spark: SparkSession, name: str, data: bytes) -> str:
+    """data as a file that every executor copies once to its own Spark folder: SparkFiles.get() of the name returned, which holds a digest of data."""
+    name = f"{name}-{hashlib.sha256(data).hexdigest()[:24]}"
+    path = f"{shared_folder(spark)}/{name}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        stream = fs.create(at, True)
+        try:
+            for i in range(0, len(data), 1 << 22):
+                stream.write(bytearray(data[i : i + (1 << 22)]))
+        finally:
+            stream.close()
+    if not any(x.rsplit("/", 1)[-1] == name for x in spark.sparkContext.listFiles):
+        spark.sparkContext.addFile(path)
+    return name
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once and kept as Parquet in the shared folder: for what is read more than once, a few columns at a time."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:

@@ -77,9 +77,9 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from snapforge.llm.url_filter import judged
+    from snapforge.llm.url_filter import block_list, judged
 
-    return judged(_read(spark, sf_dir, "pages"), URL_RULES)
+    return judged(_read(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "verdict string, host string, path string"), block_list(spark))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

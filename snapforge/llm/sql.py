@@ -38,10 +38,10 @@ WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, inst
 h AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 r(verdict, rhost, rpath) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
-b(domain) AS (SELECT n || '.example.' || t FROM (VALUES ('adult-x'), ('ads-track'), ('casino-win'), ('cheap-pills'), ('free-bets'), ('spam-farm')) x(n), (VALUES ('com'), ('net'), ('org')) y(t)),
+b(domain) AS (SELECT n || CASE WHEN i > 0 THEN i::VARCHAR ELSE '' END || '.example.' || t FROM range(3000) r(i), (VALUES ('adult-x'), ('ads-track'), ('casino-win'), ('cheap-pills'), ('free-bets'), ('spam-farm')) x(n), (VALUES ('com'), ('net'), ('org')) y(t)),
 f AS (SELECT h.*, (SELECT max_by(struct_pack(rule := rhost || rpath, verdict := verdict), length(rhost || rpath)) FROM r
                    WHERE (h.host = rhost OR h.host LIKE '%.' || rhost) AND starts_with(h.path, rpath)) AS hit,
-             EXISTS (SELECT 1 FROM b WHERE h.host = domain OR h.host LIKE '%.' || domain) AS listed FROM h)
+             EXISTS (SELECT 1 FROM b WHERE h.host = domain OR ends_with(h.host, '.' || domain)) AS listed FROM h)
 SELECT page_id, host, path, hit.rule AS rule, coalesce(hit.verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict FROM f
 """
 

@@ -1,31 +1,42 @@
 """URL filters by a sorted digest array.
 
 Rules (host, path) fit a host and its subdomains where the path starts with the rule's; the longest
-that fits decides. Domains of a block list decide the rest. All are keyed by 64-bit xxhash in one
-ascending array, mapped into memory. A batch of URLs is probed at once: all their host suffixes and
-path prefixes of lengths that rules have, by vectorised binary search; a hit counts only if the stored
-string is the probed one, so digests that collide do no harm.
+that fits decides. Domains of a block list decide the rest. Both lists are tables. Up to MAX_BYTES they become
+one array, ascending by 64-bit xxhash, in one file that every executor fetches once and all its Python
+workers map into memory. A batch of URLs is probed at once: all their host suffixes and path prefixes
+of lengths that rules have, by vectorised binary search; a hit counts only if the stored string is
+the probed one, so digests that collide do no harm. Larger lists are joined with the same candidates.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Domains that are blocked unless a rule says otherwise: fixed values, a small list for want of a public one.
+from snapforge.llm.common import dealt_join, shipped
+
+#: Fixed values, for want of a public list: names of domains that are blocked unless a rule says otherwise, and the domains above them.
 BLOCKED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-BLOCKED = tuple(f"{name}.example.{top}" for name in BLOCKED_NAMES for top in ("com", "net", "org"))
+BLOCKED_TOPS = ("com", "net", "org")
+#: Each name is blocked as it is and followed by a number from 1 up to under this.
+BLOCKED_NUMBERS = 3000
 
 #: The largest array that is shipped to executors; larger lists are joined instead.
-MAX_BYTES = 64 << 20
+MAX_BYTES = 256 << 20
+BLOCK, ALLOW, LISTED = 1, 0, 2
+
+
+def block_list(spark: SparkSession) -> DataFrame:
+    """(domain): the fixed names, numbered, under each of the fixed tops."""
+    of = lambda values: F.explode(F.array(*map(F.lit, values)))
+    numbers = spark.range(BLOCKED_NUMBERS).select(F.when(F.col("id") > 0, F.col("id").cast("string")).otherwise("").alias("i"))
+    return numbers.select("i", of(BLOCKED_NAMES).alias("n")).select("i", "n", of(BLOCKED_TOPS).alias("t")).select(F.concat("n", "i", F.lit(".example."), "t").alias("domain"))
 
 
 def digest(key: str) -> int:
@@ -47,20 +58,20 @@ class DigestArray:
 
     @staticmethod
     def pack(entries: Iterable[tuple[str, int]]) -> bytes:
-        """The file's bytes for (string, flag) entries; of entries with one string the last counts."""
-        rows = sorted((digest(k), k.encode("utf-8", "surrogatepass"), flag) for k, flag in dict(entries).items())
-        ends = np.cumsum([len(k) for _, k, _ in rows], dtype="<u8") if rows else np.zeros(0, "<u8")
-        return b"".join([np.array([len(rows)], "<u8").tobytes(), np.array([d for d, _, _ in rows], "<u8").tobytes(), ends.tobytes(), bytes(f for _, _, f in rows), *(k for _, k, _ in rows)])
+        """The file's bytes for (string, flag) entries; of entries with one string the greatest flag counts."""
+        best: dict[str, int] = {}
+        for key, flag in entries:
+            best[key] = max(flag, best.get(key, 0))
+        keys = [k.encode("utf-8", "surrogatepass") for k in best]
+        digests = np.fromiter(map(digest, best), "<u8", len(best))
+        order = np.argsort(digests, kind="stable")
+        sizes = np.fromiter(map(len, keys), "<u8", len(keys))[order]
+        flags = np.fromiter(best.values(), np.uint8, len(best))[order]
+        return b"".join([np.array([len(keys)], "<u8").tobytes(), digests[order].tobytes(), np.cumsum(sizes, dtype="<u8").tobytes(), flags.tobytes(), *(keys[i] for i in order)])
 
     @classmethod
-    def map(cls, data: bytes) -> DigestArray:
-        """data as a file of this process, mapped. The file has no name once it is mapped, so nothing stays behind."""
-        path = os.path.join(tempfile.gettempdir(), f"digests-{uuid.uuid4().hex}")
-        with open(path, "wb") as f:
-            f.write(data)
-        mapped = np.memmap(path, np.uint8, "r")
-        os.unlink(path)
-        return cls(mapped)
+    def map(cls, path: str) -> DigestArray:
+        return cls(np.memmap(path, np.uint8, "r"))
 
     def find(self, keys: list[str]) -> np.ndarray:
         """The flag of each key, or -1."""
@@ -103,24 +114,20 @@ def candidates(host: str, path: str, lengths: list[int]) -> list[tuple[int, str]
     return [(len(s) + n, s + path[:n]) for s in suffixes for n in lengths if n <= len(path)]
 
 
-def judge(host_column: Column, path_column: Column, rules: Iterable[tuple[str, str, str]], blocked: Iterable[str] = BLOCKED) -> Column:
-    """struct(rule, verdict) for a host and a path. rules: (allow or block, host, path).
+def entries(rules: DataFrame, blocked: DataFrame) -> DataFrame:
+    """(key, flag): rules as r: and their string, domains of the list as b: and theirs."""
+    own = rules.select(F.concat(F.lit("r:"), "host", "path").alias("key"), F.when(F.col("verdict") == "block", BLOCK).otherwise(ALLOW).alias("flag"))
+    return own.unionAll(blocked.select(F.concat(F.lit("b:"), "domain"), F.lit(LISTED))).where("key IS NOT NULL")
 
-    Without a fitting rule, rule is null and the verdict is block for domains of the list and their
-    subdomains, else allow. Of two fitting rules of one length the one with the longer host decides.
-    Empty hosts fit nothing.
-    """
-    rules = list(rules)
-    lengths = sorted({len(p) for _, _, p in rules})
-    data = DigestArray.pack([*(("b:" + d, 2) for d in blocked), *(("r:" + h + p, int(v == "block")) for v, h, p in rules)])
-    if len(data) > MAX_BYTES:
-        raise ValueError("too large to ship: use judge_by_join")
+
+def judge(host_column: Column, path_column: Column, file: str, lengths: list[int]) -> Column:
+    """struct(rule, verdict) for a host and a path, by the shipped array and the lengths that rules' paths have: see judged()."""
     held: dict = {}
 
     @F.arrow_udf("struct<rule:string,verdict:string>")
     def _judge(hosts: pa.Array, paths: pa.Array) -> pa.Array:
         if "array" not in held:
-            held["array"] = DigestArray.map(data)
+            held["array"] = DigestArray.map(SparkFiles.get(file))
         array = held["array"]
         keys, of = [], []
         for i, (h, p) in enumerate(zip(hosts.to_pylist(), paths.to_pylist(), strict=True)):
@@ -138,7 +145,7 @@ def judge(host_column: Column, path_column: Column, rules: Iterable[tuple[str, s
             i, key = of[j], keys[j][2:]
             if keys[j][0] == "b":
                 listed[i] = True
-            elif best[i] is None or len(key) > len(best[i]):
+            elif best[i] is None or len(key) > len(best[i]):  # longer hosts come first
                 best[i], flags[i] = key, int(found[j])
         verdicts = ["block" if (flags[i] if best[i] is not None else listed[i]) else "allow" for i in range(len(hosts))]
         return pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(verdicts, pa.string())], names=["rule", "verdict"])
@@ -146,27 +153,43 @@ def judge(host_column: Column, path_column: Column, rules: Iterable[tuple[str, s
     return _judge(host_column, path_column)
 
 
-def judge_by_join(urls: DataFrame, rules: DataFrame, blocked: DataFrame) -> DataFrame:
-    """The same for lists of any size: urls (host, path), rules (verdict, host, path), blocked (domain); distinct urls with rule and verdict.
+def judge_by_join(urls: DataFrame, rules: DataFrame, blocked: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same for lists of any size: distinct urls (host, path) with rule and verdict.
 
     Candidate strings are joined with the lists, and each URL's longest hit is kept.
     """
-    lengths = [r[0] for r in rules.select(F.length("path")).distinct().collect()]  # as many as there are path lengths
     own = urls.select("host", "path").distinct().withColumn("_id", F.sha2(F.concat_ws("\u0001", "host", "path"), 256))
     labels = F.split("host", r"\.", -1)
     suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     parts = own.where("host <> ''").select("*", suffix.alias("_s"))
     prefixes = F.explode(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths] or [F.lit(None).cast("string")])).alias("_p")
-    probes = parts.select("_id", "_s", prefixes).where("_p IS NOT NULL").withColumn("_key", F.concat("_s", "_p"))
-    hits = probes.join(rules.select(F.concat("host", "path").alias("_key"), F.col("verdict").alias("_v")), "_key")
-    best = hits.groupBy("_id").agg(F.max_by(F.struct("_key", "_v"), F.struct(F.length("_key"), "_key")).alias("_best"))
-    listed = parts.join(blocked.select(F.col("domain").alias("_s")).distinct(), "_s", "left_semi").select("_id").distinct().withColumn("_listed", F.lit(True))
+    probes = parts.select("_id", "_s", prefixes).where("_p IS NOT NULL").withColumn("key", F.concat(F.lit("r:"), "_s", "_p"))
+    lists = entries(rules, blocked).groupBy("key").agg(F.max("flag").alias("flag"))
+    hits = dealt_join(probes, lists, ["key"], ["_id"])
+    best = hits.groupBy("_id").agg(F.max_by(F.struct(F.substring("key", 3, 1 << 30).alias("key"), "flag"), F.struct(F.length("key"), F.length("_s"))).alias("_best"))
+    listed = dealt_join(parts.select("_id", F.concat(F.lit("b:"), "_s").alias("key")), lists, ["key"], ["_id"]).select("_id").distinct().withColumn("_listed", F.lit(True))
     rows = own.join(best, "_id", "left").join(listed, "_id", "left")
-    verdict = F.coalesce(F.col("_best._v"), F.when(F.col("_listed"), "block"), F.lit("allow"))
-    return rows.select("host", "path", F.col("_best._key").alias("rule"), verdict.alias("verdict"))
+    verdict = F.when(F.col("_best").isNotNull(), F.when(F.col("_best.flag") == BLOCK, "block").otherwise("allow")).when(F.col("_listed"), "block").otherwise("allow")
+    return rows.select("host", "path", F.col("_best.key").alias("rule"), verdict.alias("verdict"))
+
 
+def judged(pages: DataFrame, rules: DataFrame, blocked: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """page_id, host, path, rule and verdict for every page. rules: (verdict, host, path), verdict allow or block; blocked: (domain).
 
-def judged(pages: DataFrame, rules: Iterable[tuple[str, str, str]], blocked: Iterable[str] = BLOCKED) -> DataFrame:
-    """page_id, host, path, rule and verdict for every page, repeated rows included. Null url: empty host and path, no rule, allow."""
+    Without a fitting rule, rule is null and the verdict is block for domains of the list and their
+    subdomains, else allow. Of two fitting rules of one length the one with the longer host decides, of
+    two with one string block does. Empty hosts fit nothing. Null url: empty host and path, no rule,
+    allow. Very long urls are judged whole. Repeated rows and null ids have a row each. Columns other than
+    page_id and url are left out. Empty table: empty result; empty lists: all are allowed. Lists of up to
+    max_bytes are shipped as an array, larger ones joined, with the same result.
+    """
     rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    return rows.withColumn("_j", judge(F.col("host"), F.col("path"), rules, blocked)).select("page_id", "host", "path", "_j.rule", "_j.verdict")
+    lengths = sorted(r[0] for r in rules.where("host IS NOT NULL AND path IS NOT NULL").select(F.length("path")).distinct().collect())  # as many as there are path lengths
+    lists = entries(rules, blocked)
+    n, size = lists.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
+    if 8 + 17 * n + size <= max_bytes:
+        found = lists.toArrow()
+        file = shipped(pages.sparkSession, "digests", DigestArray.pack(zip(found["key"].to_pylist(), found["flag"].to_pylist(), strict=True)))
+        return rows.withColumn("_j", judge(F.col("host"), F.col("path"), file, lengths)).select("page_id", "host", "path", "_j.rule", "_j.verdict")
+    known = judge_by_join(rows, rules, blocked, lengths)
+    return dealt_join(rows, known, ["host", "path"], ["page_id"]).select("page_id", "host", "path", "rule", "verdict")
