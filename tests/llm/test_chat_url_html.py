@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
+import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -60,7 +63,7 @@ def test_chat_plan_is_native(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-URLS = ["https://a.example.org/es/x", "http://example.org/en/12?q", "http://org/z", "x://A.Example.COM/de/1#t", "http://a.com/fr/", "http://b.net/x", "http://www.cheap-pills.example.net/fr", "noscheme.org/x", None, "", "http://", "http://u.example.org", "http://xorg/z", "a://b.com/fr/?://c.org/"]
+URLS = ["https://a.example.org/es/x", "http://example.org/en/12?q", "http://org/z", "x://A.Example.COM/de/1#t", "http://a.com/fr/", "http://b.net/x", "http://www.cheap-pills.example.net/fr", "https://spam-farm2999.example.org:80/", "http://x.spam-farm2999.example.net.example.com/", "http://spam-farm2999.example.org", "noscheme.org/x", None, "", "http://", "http://u.example.org", "http://xorg/z", "a://b.com/fr/?://c.org/"]
 
 
 def by_hand(url):
@@ -73,25 +76,47 @@ def by_hand(url):
         path = path.split(c)[0]
     host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
     fits = [(len(h + p), h + p, v) for v, h, p in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    blocked = any(host == d or host.endswith("." + d) for d in url_filter.BLOCKED)
+    blocked = any(host == d or host.endswith("." + d) for d in ("cheap-pills.example.net", "spam-farm2999.example.org"))
     return host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else "block" if blocked else "allow"
 
 
 def test_urls(spark):
-    df = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)] + [(3, URLS[3])], "page_id long, url string")
-    got = sorted(map(tuple, url_filter.judged(df, URL_RULES).collect()))
-    assert got == sorted([(i, *by_hand(u)) for i, u in enumerate(URLS)] + [(3, *by_hand(URLS[3]))])
+    df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)] + [(3, URLS[3], "y"), (None, URLS[0], "z")], "page_id long, url string, host string")
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
-    lists = spark.createDataFrame([(d,) for d in url_filter.BLOCKED], "domain string")
-    joined = {(r["host"], r["path"]): (r["rule"], r["verdict"]) for r in url_filter.judge_by_join(url_filter.judged(df, URL_RULES), rules, lists).collect()}
-    assert joined == {(h, p): (r, v) for _, h, p, r, v in got}
+    want = sorted(map(str, [(i, *by_hand(u)) for i, u in enumerate(URLS)] + [(3, *by_hand(URLS[3])), (None, *by_hand(URLS[0]))]))
+    for max_bytes in (url_filter.MAX_BYTES, 0):  # by the array, by joins
+        assert sorted(str(tuple(r)) for r in url_filter.judged(df, rules, url_filter.block_list(spark), max_bytes).collect()) == want
+        assert url_filter.judged(df.limit(0), rules, url_filter.block_list(spark), max_bytes).count() == 0
+        assert {r["verdict"] for r in url_filter.judged(df, rules.limit(0), spark.createDataFrame([], "domain string"), max_bytes).collect()} == {"allow"}
 
 
-def test_digest_collisions(monkeypatch):
+def test_rules_that_tie(spark):
+    """Of one string block decides; of one length the longer host."""
+    rules = spark.createDataFrame([("allow", "a.org", "/x"), ("block", "a.org", "/x"), ("block", "b.org", "/xyzz/"), ("allow", "www.b.org", "/x"), (None, None, None)], "verdict string, host string, path string")
+    df = spark.createDataFrame([(1, "http://a.org/x"), (2, "http://www.b.org/xyzz/"), (3, "http://b.org/" + "p" * 100_000)], "page_id long, url string")
+    for max_bytes in (url_filter.MAX_BYTES, 0):
+        got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judged(df, rules, spark.createDataFrame([], "domain string"), max_bytes).collect()}
+        assert got == {1: ("a.org/x", "block"), 2: ("www.b.org/x", "allow"), 3: (None, "allow")}
+
+
+def test_a_list_of_a_million(spark):
+    blocked = spark.range(1_000_000).select(F.concat(F.lit("d"), (F.col("id") * 3).cast("string"), F.lit(".example.com")).alias("domain"))
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    df = spark.range(5000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www.d"), (F.col("id") * 599).cast("string"), F.lit(".example.com/x")).alias("url"))
+    for max_bytes in (url_filter.MAX_BYTES, 1 << 20):
+        got = {r["page_id"]: r["verdict"] for r in url_filter.judged(df, rules, blocked, max_bytes).collect()}
+        assert got == {i: "block" if i * 599 % 3 == 0 and i * 599 < 3_000_000 else "allow" for i in range(5000)}
+
+
+def test_digest_collisions(monkeypatch, tmp_path):
     monkeypatch.setattr(url_filter, "digest", lambda key: len(key))
-    a = url_filter.DigestArray.map(url_filter.DigestArray.pack([("ab", 1), ("cd", 0), ("xyz", 2)]))
-    assert a.find(["ab", "cd", "ef", "xyz", "q", ""]).tolist() == [1, 0, -1, 2, -1, -1]
-    assert url_filter.DigestArray.map(url_filter.DigestArray.pack([])).find(["x"]).tolist() == [-1]
+
+    def array(entries):
+        (tmp_path / "a").write_bytes(url_filter.DigestArray.pack(entries))
+        return url_filter.DigestArray.map(str(tmp_path / "a"))
+
+    assert array([("ab", 1), ("cd", 0), ("xyz", 2), ("cd", 0), ("ab", 0)]).find(["ab", "cd", "ef", "xyz", "q", ""]).tolist() == [1, 0, -1, 2, -1, -1]
+    assert array([]).find(["x"]).tolist() == [-1]
 
 
 @settings(max_examples=100, deadline=None)
@@ -142,3 +167,55 @@ def test_open_blocks_beside_content(spark):
     for i in range(1, 3):
         assert got[i] == f"f{i}irst {i} teaser {i} {body(i)} end {i}"
     assert got[7] == got[0] == f"f0irst 0 teaser 0 {body(0)} end 0"
+
+
+def by_all_windows(pages, run):
+    """Texts of pages made of open blocks only, by comparing every window with every other page of its host."""
+    out = {}
+    for i, host, words in pages:
+        gone = set()
+        for k in range(len(words) - run + 1):
+            for j, other, said in pages:
+                if other == host and said != words and any(said[m : m + run] == words[k : k + run] for m in range(len(said) - run + 1)):
+                    gone |= set(range(k, k + run))
+        out[i] = " ".join(w for k, w in enumerate(words) if k not in gone)
+    return out
+
+
+@pytest.mark.parametrize("run", [3, 8])
+def test_repeated_runs_by_brute_force(spark, run):
+    rng = random.Random(run)
+    menu = [f"m{k}" for k in range(2 * run)]
+    pages = []
+    for i in range(60):
+        words = [rng.choice("abcde") for _ in range(rng.randrange(0, 25))]
+        pages.append((i, f"h{rng.randrange(3)}", words[:10] + menu[rng.randrange(run) :] * (i % 3 > 0) + words[10:]))
+    pages += [(100 + i, h, list(w)) for i, (_, h, w) in enumerate(pages[:9])]
+    rows = [(i, f"http://{h}.org/{i}", "".join(f"<p>{' '.join(w[k : k + 4])}</p>" for k in range(0, len(w), 4))) for i, h, w in pages]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    assert {r["page_id"]: r["text"] for r in html_extract.extract(frame, run).collect()} == by_all_windows(pages, run)
+
+
+def test_suffix_ranks_are_those_of_sorted_suffixes():
+    rng = random.Random(1)
+    for depth in (1, 3, 5, 8):
+        words = [rng.randrange(3) for _ in range(200)]
+        got = html_extract.suffix_ranks(np.array(words), depth).tolist()
+        heads = [tuple(words[i : i + depth]) for i in range(len(words))]
+        place = {h: k for k, h in enumerate(sorted(set(heads)))}
+        assert got == [place[h] for h in heads]
+
+
+def test_a_page_of_a_million_open_tokens(spark):
+    own = lambda i: " ".join(f"{i}w{k}" for k in range(500_000))
+    shared = " ".join(f"s{k}" for k in range(500_000))
+    rows = [(i, "http://h.org/", f"<p>{own(i)}</p><p>{shared}</p>") for i in range(2)]
+    began = time.monotonic()
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: own(i) for i in range(2)} and time.monotonic() - began < 90
+
+
+def test_odd_pages(spark):
+    frame = spark.createDataFrame([(1, "http://h/", "<article>a</article>", "x", True), (1, "http://h/", "<article>a</article>", "x", True), (None, None, None, "y", None)], "page_id long, url string, html string, text string, is_page boolean")
+    assert sorted((str(r["page_id"]), r["text"]) for r in html_extract.extract(frame).collect()) == [("1", "a"), ("1", "a"), ("None", "")]
+    assert html_extract.extract(frame.limit(0)).count() == 0
