@@ -11,6 +11,8 @@ From keys to groups of copies, without ever listing the pairs of a bucket:
   from table to table, so large groups of copies grow together at once;
 - buckets that then still hold classes of different components are compared with all their classes, or
   if that is much, with 32 hubs first, then 1,024 and so on: only pairs across components, each once.
+No step gathers a bucket or a group of copies in one task: joins by table key or class deal the rows of
+a key over salts, and open buckets are compared in blocks of BLOCK classes, a task for each two blocks.
 Pairs that a bitmap filter can't rule out are confirmed on full sets, rebuilt from the texts. The
 bitmap has a bit for each hash slot, set if an odd number of the set's shingles fall there; as each
 shingle that only one of two sets has flips one bit, the bits that differ are a lower bound of their
@@ -30,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapforge.llm.common import checkpointed, plain, starts
+from snapforge.llm.common import SALTS, checkpointed, dealt_join, each_salt, plain, release, salt, salts, starts
 
 GROUP = 2
 MISS = 1e-4
@@ -41,6 +43,8 @@ BITMAP = 8
 TABLE_BITS = 12
 #: Bitmaps are compared for all pairs of the open buckets at once if these are no more than so many, or so many for each row.
 AT_ONCE, AT_ONCE_EACH = 200_000_000, 1000
+#: Classes of a block of an open bucket.
+BLOCK = 2048
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,7 +116,7 @@ def may_link(n: Column | str, bits: list[str], other_n: Column | str, other_bits
 
 
 def fingerprints(docs: DataFrame, size: int, groups: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, node (a digest of the set; null if it is empty), g0, g1, ... and the bitmap b0, b1, ..."""
+    """doc_id, text_hash, salt (any), n_shingles, node (a digest of the set; null if it is empty), g0, g1, ... and the bitmap b0, b1, ..."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = [*(f"g{i}" for i in range(groups)), *(f"b{i}" for i in range(BITMAP))]
 
@@ -128,9 +132,9 @@ def fingerprints(docs: DataFrame, size: int, groups: int) -> DataFrame:
                     keys[some] = np.hstack([group_keys(full, groups), bitmaps(full)])
                 node = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 text_hash = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in text]  # as Spark's xxhash64
-                yield pa.RecordBatch.from_arrays([plain(part, "doc_id"), pa.array(np.array(text_hash, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), *(pa.array(np.ascontiguousarray(x)) for x in keys.T)], names=["doc_id", "text_hash", "n_shingles", "node", *names])
+                yield pa.RecordBatch.from_arrays([plain(part, "doc_id"), pa.array(np.array(text_hash, np.uint64).view(np.int64)), pa.array(np.arange(len(sets), dtype=np.int32) % SALTS), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), *(pa.array(np.ascontiguousarray(x)) for x in keys.T)], names=["doc_id", "text_hash", "salt", "n_shingles", "node", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, node binary, " + ", ".join(f"{x} bigint" for x in names))
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, salt int, n_shingles bigint, node binary, " + ", ".join(f"{x} bigint" for x in names))
 
 
 def _first_table(groups: list[str], pair: Column) -> Column:
@@ -143,6 +147,7 @@ def _first_table(groups: list[str], pair: Column) -> Column:
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose sets, rebuilt from texts (node, packed), have 100 * common >= percent * all."""
+
     side = lambda x: texts.select(F.col("node").alias(x), F.col("packed").alias(f"{x}_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +170,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                 yes.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
-    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a binary, b binary")
+    met = dealt_join(dealt_join(pairs, side("b"), ["b"], ["a"]), side("a"), ["a"], ["b"])  # a hub has many pairs
+    return met.mapInArrow(run, "a binary, b binary")
 
 
 def merged(links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -178,22 +184,24 @@ def merged(links: DataFrame, labels: DataFrame) -> DataFrame:
     at = lambda x, r: labels.select(F.col("node").alias(x), F.col("label").alias(r))
     between = lambda x, y: (F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
     edges = links.join(at("a", "la"), "a").join(at("b", "lb"), "b").where("la <> lb").select(*between("la", "lb")).distinct()
-    edges, roots = checkpointed(edges), None
+    edges, roots = checkpointed(edges, forget=True), None
     while not edges.isEmpty():
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).union(edges.select("v", "u"))
-        up = checkpointed(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p")))
+        least = up = checkpointed(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p")), forget=True)
         for _ in range(2):
             up = up.join(up.select(F.col("x").alias("_x"), F.col("p").alias("_p")), F.col("p") == F.col("_x")).select("x", F.col("_p").alias("p"))
-        up = checkpointed(up)
+        up = checkpointed(up, forget=True)
+        release(least)
         to = lambda x, p, up=up: up.select(F.col("x").alias(x), F.col("p").alias(p))
         if roots is None:
             roots = to("_v", "_r")
         else:
-            roots = checkpointed(roots.join(to("_x", "_p"), F.col("_r") == F.col("_x"), "left").select("_v", F.coalesce("_p", "_r").alias("_r")))
-        edges = checkpointed(edges.join(to("u", "pu"), "u").join(to("v", "pv"), "v").where("pu <> pv").select(*between("pu", "pv")).distinct())
+            roots = checkpointed(roots.join(to("_x", "_p"), F.col("_r") == F.col("_x"), "left").select("_v", F.coalesce("_p", "_r").alias("_r")), forget=True)
+        last, edges = edges, checkpointed(edges.join(to("u", "pu"), "u").join(to("v", "pv"), "v").where("pu <> pv").select(*between("pu", "pv")).distinct(), forget=True)
+        release(last)
     if roots is None:
         return labels
-    return checkpointed(labels.join(roots, F.col("label") == F.col("_v"), "left").select("node", F.coalesce("_r", "label").alias("label")))
+    return checkpointed(labels.join(roots, F.col("label") == F.col("_v"), "left").select("node", F.coalesce("_r", "label").alias("label")), forget=True)
 
 
 def _text_hash() -> Column:
@@ -205,13 +213,13 @@ def _labelled(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Data
     groups, bits = n_groups(percent), [f"b{i}" for i in range(BITMAP)]
     prints = checkpointed(fingerprints(docs, size, groups))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    classes = prints.where("node IS NOT NULL").groupBy("node").agg(F.min(first).alias("rep"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in [*(f"g{i}" for i in range(groups)), *bits]])
+    classes = prints.where("node IS NOT NULL").groupBy("node").agg(F.min(first).alias("rep"), salts(F.col("salt")).alias("salts"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in [*(f"g{i}" for i in range(groups)), *bits]])
     classes = checkpointed(classes)
     tables = [(i, j) for i in range(groups) for j in range(i + 1, groups)]
     keys = F.explode(F.array(*[F.shiftleft(F.xxhash64(f"g{i}", f"g{j}"), TABLE_BITS).bitwiseOR(F.lit(t).cast("long")) for t, (i, j) in enumerate(tables)]))
-    rows = classes.select("node", "n", F.xxhash64("node").alias("h"), keys.alias("key"))
-    shared = rows.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.count("*").alias("n_classes")).where("x <> y").select(F.col("key").alias("_key"), "n_classes")
-    members = checkpointed(rows.join(shared, F.col("key") == F.col("_key")).select("key", "node", "n", "n_classes"))
+    rows = classes.select("node", "n", F.xxhash64("node").alias("h"), salt("node").alias("salt"), keys.alias("key"))
+    shared = rows.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.count("*").alias("n_classes"), salts(F.col("salt")).alias("s")).where("x <> y").select(F.col("key").alias("_key"), "n_classes", each_salt(F.col("s")).alias("_s"))
+    members = checkpointed(rows.join(shared, (F.col("key") == F.col("_key")) & (F.col("salt") == F.col("_s"))).select("key", "salt", "node", "n", "n_classes"))
     own = F.struct(F.col("rep.no_id").alias("no_id"), F.col("rep.doc_id").alias("doc_id"), F.col("node").alias("node"))
     among = classes.join(members.select(F.col("node").alias("_n")).distinct(), F.col("node") == F.col("_n")).select("node", "rep", "n", own.alias("label"), *bits, *(f"g{i}" for i in range(groups)))
     among = checkpointed(among)
@@ -225,23 +233,26 @@ def _labelled(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Data
     texts = among.join(source, F.col("rep.doc_id").eqNullSafe(F.col("_id")) & (F.col("rep.text_hash") == F.col("_hash"))).groupBy("node").agg(F.first("packed").alias("packed"))
     texts = checkpointed(texts)
 
-    labels, hubs, before, done = among.select("node", "label"), 0, 1, None
+    labels, hubs, before, done, open_rows = among.select("node", "label"), 0, 1, None, None
     other, own_groups = [f"_{c}" for c in bits], [f"g{i}" for i in range(groups)]
     pair = F.element_at(F.array(*[F.lit((1 << i) | (1 << j)).cast("long") for i, j in tables]), (F.col("key").bitwiseAND(F.lit((1 << TABLE_BITS) - 1).cast("long")) + 1).cast("int"))
     while True:
         if not hubs:
-            hub = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("r"), "node")).alias("hub")).select(F.col("key").alias("_hk"), F.col("hub.node").alias("_h"))
-            met = members.join(hub, (F.col("key") == F.col("_hk")) & (F.col("node") != F.col("_h")))
+            hub = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("r"), "node")).alias("hub"), salts(F.col("salt")).alias("s"))
+            hub = hub.select(F.col("key").alias("_hk"), F.col("hub.node").alias("_h"), each_salt(F.col("s")).alias("_s"))
+            met = members.join(hub, (F.col("key") == F.col("_hk")) & (F.col("salt") == F.col("_s")) & (F.col("node") != F.col("_h")))
             met = met.select(F.least("node", "_h").alias("a"), F.greatest("node", "_h").alias("b")).distinct()
             of = lambda x, bs, n: among.select(F.col("node").alias(x), F.col("n").alias(n), *[F.col(c).alias(d) for c, d in zip(bits, bs, strict=True)])
-            pairs = met.join(of("a", bits, "n"), "a").join(of("b", other, "_n"), "b").where(may_link("n", bits, "_n", other, percent)).select("a", "b")
+            met = dealt_join(dealt_join(met, of("a", bits, "n"), ["a"], ["b"]), of("b", other, "_n"), ["b"], ["a"])
+            pairs = met.where(may_link("n", bits, "_n", other, percent)).select("a", "b")
         else:
             if before >= 1 << 40:
                 break
             known = labels.join(among.select(F.col("node").alias("_an"), *bits, *own_groups), F.col("node") == F.col("_an")).select(F.col("node").alias("_ln"), F.xxhash64(F.col("label.node")).alias("l"), *bits, *own_groups)
             rows = members.where(F.col("n_classes") > before)
-            mixed = rows.join(known.select("_ln", "l"), F.col("node") == F.col("_ln")).groupBy("key").agg(F.min("l").alias("x"), F.max("l").alias("y")).where("x <> y").select(F.col("key").alias("_k"))
-            rows = checkpointed(rows.join(mixed, F.col("key") == F.col("_k")).join(known, F.col("node") == F.col("_ln")).drop("_k", "_ln"))
+            mixed = rows.join(known.select("_ln", "l"), F.col("node") == F.col("_ln")).groupBy("key").agg(F.min("l").alias("x"), F.max("l").alias("y"), salts(F.col("salt")).alias("s")).where("x <> y")
+            mixed = mixed.select(F.col("key").alias("_k"), each_salt(F.col("s")).alias("_s"))
+            rows = open_rows = checkpointed(rows.join(mixed, (F.col("key") == F.col("_k")) & (F.col("salt") == F.col("_s"))).join(known, F.col("node") == F.col("_ln")).drop("_k", "_s", "_ln"))
             n_rows, n_pairs = rows.agg(F.count("*"), F.sum(F.col("n_classes").cast("double"))).first()
             if not n_rows:
                 break
@@ -250,18 +261,25 @@ def _labelled(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Data
             chance = (F.pmod(F.xxhash64("key", "node"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))
             rows = rows.withColumn("is_hub", (F.col("n_classes") <= hubs) | (chance <= F.lit(float(hubs)) / F.col("n_classes"))).withColumn("pair", pair)
             renamed = {c: f"_{c}" for c in (*bits, *own_groups)}
-            hub = rows.where("is_hub").select(F.col("key").alias("_hk"), F.col("node").alias("_h"), F.col("n").alias("_n"), F.col("l").alias("_l"), *[F.col(c).alias(d) for c, d in renamed.items()])
+            n_blocks = F.ceil(F.col("n_classes") / BLOCK).cast("int")
+            n_hub_blocks = F.ceil(F.least(F.col("n_classes"), F.lit(hubs).cast("long")) / BLOCK).cast("int")
+            block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+            all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+            hub = rows.where("is_hub").select(F.col("key").alias("_hk"), F.col("node").alias("_h"), F.col("n").alias("_n"), F.col("l").alias("_l"), block(n_hub_blocks).alias("_hb"), all_of(n_blocks).alias("_b"), *[F.col(c).alias(d) for c, d in renamed.items()])
             once = (~F.col("is_hub") | (F.col("node") < F.col("_h"))) & _first_table(own_groups, F.col("pair"))
-            met = rows.join(hub, (F.col("key") == F.col("_hk")) & (F.col("l") != F.col("_l")) & may_link("n", bits, "_n", other, percent) & once)
+            sides = rows.withColumn("b", block(n_blocks)).withColumn("hb", all_of(n_hub_blocks))
+            met = sides.join(hub, (F.col("key") == F.col("_hk")) & (F.col("b") == F.col("_b")) & (F.col("hb") == F.col("_hb")) & (F.col("l") != F.col("_l")) & may_link("n", bits, "_n", other, percent) & once)
             pairs = met.select(F.least("node", "_h").alias("a"), F.greatest("node", "_h").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         pairs = checkpointed(pairs)
         found = checkpointed(confirmed(pairs, texts, size, percent))
         done = pairs if done is None else done.union(pairs)
         labels = merged(found, labels)
+        release(found, open_rows)
         before, hubs = max(1, hubs), 32 * max(1, hubs)
 
+    release(members, texts)
     reached = labels.select(F.col("node").alias("_ln"), "label")
-    return prints, classes.join(reached, F.col("node") == F.col("_ln"), "left").select("node", "rep", "label")
+    return prints, classes.join(reached, F.col("node") == F.col("_ln"), "left").select("node", "rep", "salts", "label")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -271,31 +289,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     that links reach, kept is doc_id = component_id. Null, empty and wordless texts have no shingles and
     link with nothing. Equal sets are linked, whatever their number. Null doc_ids come after others; a
     component of null ids only has a null id. Repeated rows stay, each with its component. Columns
-    other than doc_id and text are left out. Empty table: empty result.
+    other than doc_id and text are left out. Very long texts give all their shingles. Empty table: empty
+    result.
     """
     prints, classes = _labelled(docs, size, percent)
-    of = classes.select(F.col("node").alias("_n"), F.when(F.col("label").isNull(), F.col("rep.doc_id")).otherwise(F.col("label.doc_id")).alias("_component"))
-    out = prints.join(of, F.col("node") == F.col("_n"), "left")
+    of = classes.select(F.col("node").alias("_n"), F.when(F.col("label").isNull(), F.col("rep.doc_id")).otherwise(F.col("label.doc_id")).alias("_component"), each_salt(F.col("salts")).alias("_s"))
+    out = prints.join(of, (F.col("node") == F.col("_n")) & (F.col("salt") == F.col("_s")), "left")  # a class's copies over its salts
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row of docs for each component, columns as they came: that of the least doc_id. Of rows with one id, one stays."""
-    key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
-    kept = near_duplicates(docs, size, percent).where("kept").select(key(F.col("doc_id")).alias("_key")).distinct()
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    rows = docs.toDF(*names).withColumn("_key", key(F.col(names[docs.columns.index("doc_id")]))).join(kept, "_key", "left_semi")
-    one = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))  # dealt as the join dealt them: texts move once
-    return rows.withColumn("_row", one).where("_row = 1").select(*names).toDF(*docs.columns)
-
-
 def representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row of docs for each component, columns as they came, and every row without shingles.
 
     A component's row is that of its least class (by doc_id, nulls last, then set digest) with the
     least (doc_id, text hash) there. Rows are told apart by id and text, so those that only share an id,
-    or have none, stay.
+    or have none, stay; of rows with one id and one text one stays. Null and empty texts have no shingles.
+    Very long texts are compared whole. Other columns may have any names. Empty table: empty result.
     """
     _, classes = _labelled(docs, size, percent)
     least = classes.where(F.col("label").isNull() | (F.col("label.node") == F.col("node")))

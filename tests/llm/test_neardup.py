@@ -54,9 +54,10 @@ def corpus(seed=5):
     return list(zip(ids, rows, strict=True))
 
 
-@pytest.mark.parametrize(("n", "percent", "at_once"), [(3, 85, None), (5, 80, None), (3, 85, 0)])
-def test_against_all_pairs(spark, monkeypatch, n, percent, at_once):
+@pytest.mark.parametrize(("n", "percent", "at_once", "block"), [(3, 85, None, 2048), (5, 80, None, 7), (3, 85, 0, 5)])
+def test_against_all_pairs(spark, monkeypatch, n, percent, at_once, block):
     rows = corpus()
+    monkeypatch.setattr(neardup, "BLOCK", block)
     if at_once is not None:  # in rounds of more and more hubs
         monkeypatch.setattr(neardup, "AT_ONCE", at_once)
         monkeypatch.setattr(neardup, "AT_ONCE_EACH", at_once)
@@ -79,8 +80,9 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(i, t, "x", i) for i, t in rows], "doc_id long, text string, node string, n long")
     out = neardup.near_duplicates(df, 5, 80).collect()
     assert len(out) == 7 and {(r["doc_id"], r["component_id"]) for r in out} == {(1, 1), (None, 1), (None, None), (2, 2), (3, 3)}
-    kept = neardup.deduplicated(df, 5, 80)
-    assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "None"]
+    kept = neardup.representatives(df, 5, 80)
+    assert kept.columns == df.columns and sorted(f"{r['doc_id']} {r['text']}" for r in kept.collect()) == sorted(["1 a b c d e f", "1 quite another text it is", "None null only words here now", "2 None", "3 "])
+    assert neardup.representatives(df.limit(0)).count() == 0
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
