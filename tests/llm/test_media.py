@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -59,3 +60,28 @@ def test_query(spark):
         assert r["payload_sha256"] == hashlib.sha256(p).hexdigest() and r["tail_crc32"] == zlib.crc32(p[-16:]) and len(r["feature"]) == 16
     assert tuple(got[0])[1:] == tuple(got[4])[1:] and tuple(got[1])[1:] == tuple(got[2])[1:]
     assert media.media_digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("shape", [(1, 64, 3), (9, 64, 3), (32, 32, 3), (100, 64, 3), (40, 7, 1)])
+def test_hash_is_that_of_a_plain_cosine_transform(shape):
+    samples = np.random.default_rng(shape[0]).integers(0, 256, shape).astype(np.uint8)
+    h, w = shape[:2]
+
+    def cell(n, i):
+        return range(i * n // 32, (i + 1) * n // 32) if n >= 32 else [i * n // 32]
+
+    grey = [[float(np.mean([int(c) for c in samples[y, x]])) for x in range(w)] for y in range(h)]
+    g = [[float(np.mean([grey[y][x] for y in cell(h, i) for x in cell(w, j)])) for j in range(32)] for i in range(32)]
+    low = [round(sum(g[y][x] * math.cos(math.pi * (2 * y + 1) * u / 64) * math.cos(math.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32)), 6) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    bits = "0" + "".join(str(int(c > middle)) for c in low[1:])
+    assert media.cosine_hash(samples) == int(bits, 2).to_bytes(8, "big")
+
+
+def test_clashing_and_repeated_rows(spark):
+    rows = [(1, "a", b"x", "f"), (1, "a", b"y", "g"), (2, "word " * 400_000, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, media binary, feature string")
+    got = media.media_digests(df).collect()
+    assert len(got) == 3 and tuple(got[0]) == tuple(got[1]) and got[2]["n_bytes"] == 2_000_000
+    with pytest.raises(ValueError):
+        media.with_media(df)

@@ -84,3 +84,24 @@ def test_token_counts(spark):
     for q in (0.0, 0.5, 0.9, 1.0):
         assert token_counts.quantile(token_counts.suffix_sums(h), q).first()[0] == lens[max(1, int(np.ceil(q * len(lens)))) - 1]
     assert token_counts.suffix_sums(h.limit(0)).count() == 0
+
+
+def test_ids_are_those_of_the_full_form_over_a_whole_table(spark):
+    """The fast encoder against the vocabulary file's own, text by text."""
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    own = encoder()
+    for t in texts:
+        assert own.ids(t).tolist() == own.full.encode(t, add_special_tokens=False).ids
+
+
+def test_clashing_names_ties_and_long_texts(spark):
+    rows = [(i % 3, "same text", 5, 6, "s") for i in range(30)] + [(None, None, 0, 0, "t"), (7, "long text " * 60_000, 1, 1, "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, piece int, length int, ids string")
+    got = packing.pack(df, with_ids=True).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got) and sum(r["doc_id"] in (0, 1, 2) for r in got) == 30
+    long = sorted((r["start"], r["length"]) for r in got if r["doc_id"] == 7)
+    assert long[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(long, long[1:])) and all(n == 2048 for _, n in long[1:])
+    assert packing.pack(df.limit(0)).count() == 0
+    histogram = token_counts.length_histogram(df)
+    assert {r["n_docs"] for r in histogram.collect()} == {30, 1} and histogram.agg({"n_docs": "sum"}).first()[0] == 32
+    assert token_counts.suffix_sums(token_counts.length_histogram(df.limit(0))).count() == 0
