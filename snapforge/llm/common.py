@@ -6,6 +6,7 @@ import hashlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,9 +103,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
-    """A text column as Python strings; null is the empty text."""
-    return [x or "" for x in column.to_pylist()]
+def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[str]:
+    """A text column's Python strings, 500 of them in memory at a time; null is the empty text."""
+    for i in range(0, len(column), 500):
+        for x in column.slice(i, 500).to_pylist():
+            yield x or ""
 
 
 def starts(lengths: np.ndarray) -> np.ndarray:

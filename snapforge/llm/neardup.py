@@ -7,8 +7,8 @@ least number at which two documents at the threshold share a table but for a cha
 
 From keys to groups of copies, without ever listing the pairs of a bucket:
 - documents with one shingle set are one class; classes are counted, hashed and compared once;
-- in every bucket each class is compared with the bucket's hub, the class of least hash; a hub differs
-  from table to table, so large groups of copies grow together at once;
+- in every bucket each class is compared with the bucket's hub, the class of least hash, of which there
+  are a few kinds, so large groups of copies grow together at once;
 - buckets that then still hold classes of different components are compared with all their classes, or
   if that is much, with 32 hubs first, then 1,024 and so on: only pairs across components, each once.
 No step gathers a bucket or a group of copies in one task: joins by table key or class deal the rows of
@@ -43,6 +43,8 @@ BITMAP = 8
 TABLE_BITS = 12
 #: Bitmaps are compared for all pairs of the open buckets at once if these are no more than so many, or so many for each row.
 AT_ONCE, AT_ONCE_EACH = 200_000_000, 1000
+#: Tables choose their hubs by one of so many orders of the classes, so a class meets few hubs, and yet not the same one everywhere.
+TURNS = 4
 #: Classes of a block of an open bucket.
 BLOCK = 2048
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -122,7 +124,7 @@ def fingerprints(docs: DataFrame, size: int, groups: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 text = [x or "" for x in plain(part, "text").to_pylist()]
                 sets = [shingles(x, size) for x in text]
                 some = np.fromiter((len(s) > 0 for s in sets), bool, len(sets))
@@ -152,23 +154,27 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            met: dict[bytes, np.ndarray] = {}
-
-            def of(node: bytes, packed: bytes, met: dict = met) -> np.ndarray:
-                if node not in met:
-                    if len(met) > 2000:
-                        met.clear()
-                    met[node] = shingles(unpack(packed).decode("utf-8", "surrogatepass"), size)
-                return met[node]
-
-            rows = zip(*(plain(batch, c).to_pylist() for c in ("a", "a_text", "b", "b_text")), strict=True)
-            yes = []
-            for a, a_text, b, b_text in rows:
-                x, y = of(a, a_text), of(b, b_text)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                yes.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+        met: dict[bytes, np.ndarray] = {}
+        held = 0
+
+        def of(node: bytes, packed: bytes) -> np.ndarray:
+            nonlocal held
+            if node not in met:
+                if held > 4_000_000:  # shingles
+                    met.clear()
+                    held = 0
+                met[node] = shingles(unpack(packed).decode("utf-8", "surrogatepass"), size)
+                held += len(met[node])
+            return met[node]
+
+        for whole in batches:
+            for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+                yes = []
+                for a, a_text, b, b_text in zip(*(plain(batch, c).to_pylist() for c in ("a", "a_text", "b", "b_text")), strict=True):
+                    x, y = of(a, a_text), of(b, b_text)
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    yes.append(100 * common >= percent * (len(x) + len(y) - common))
+                yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
     met = dealt_join(dealt_join(pairs, side("b"), ["b"], ["a"]), side("a"), ["a"], ["b"])  # a hub has many pairs
     return met.mapInArrow(run, "a binary, b binary")
@@ -238,7 +244,8 @@ def _labelled(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Data
     pair = F.element_at(F.array(*[F.lit((1 << i) | (1 << j)).cast("long") for i, j in tables]), (F.col("key").bitwiseAND(F.lit((1 << TABLE_BITS) - 1).cast("long")) + 1).cast("int"))
     while True:
         if not hubs:
-            hub = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", "key").alias("r"), "node")).alias("hub"), salts(F.col("salt")).alias("s"))
+            turn = F.pmod(F.col("key").bitwiseAND(F.lit((1 << TABLE_BITS) - 1).cast("long")), F.lit(TURNS))
+            hub = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", turn).alias("r"), "node")).alias("hub"), salts(F.col("salt")).alias("s"))
             hub = hub.select(F.col("key").alias("_hk"), F.col("hub.node").alias("_h"), each_salt(F.col("s")).alias("_s"))
             met = members.join(hub, (F.col("key") == F.col("_hk")) & (F.col("salt") == F.col("_s")) & (F.col("node") != F.col("_h")))
             met = met.select(F.least("node", "_h").alias("a"), F.greatest("node", "_h").alias("b")).distinct()
