@@ -133,17 +133,30 @@ class Weights:
         self.steps += 1
 
 
-def batches(at: np.ndarray, sizes: np.ndarray, labels: np.ndarray, size: int = BATCH) -> list[tuple[np.ndarray, ...]]:
-    """(terms, places among them, sizes, labels) of so many texts at a time."""
-    ends, out = np.concatenate([[0], np.cumsum(sizes)]), []
-    for i in range(0, len(sizes), size):
-        own, places = np.unique(at[ends[i] : ends[min(i + size, len(sizes))]], return_inverse=True)
-        out.append((own, places.astype(np.int32), sizes[i : i + size], labels[i : i + size].astype(np.float64)))
+def batches(rows: list[np.ndarray], labels: np.ndarray, size: int = BATCH) -> list[tuple[np.ndarray, ...]]:
+    """(terms, places among them, sizes, labels) of so many texts at a time. No copy of all terms is made."""
+    out = []
+    for i in range(0, len(rows), size):
+        own, places = np.unique(np.concatenate(rows[i : i + size]), return_inverse=True)
+        out.append((own.astype(np.int32), places.astype(np.int32), np.array([len(r) for r in rows[i : i + size]]), labels[i : i + size].astype(np.float64)))
     return out
 
 
-def fit(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rank: int = RANK, penalty: float = PENALTY, seed: int = 7) -> Model:
-    """A model of texts. flat: the terms of all texts, one text after the other; sizes: how many each has.
+def only(parts: list[tuple[np.ndarray, ...]], place: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """The batches with terms at their places, without those whose place is -1."""
+    out = []
+    for own, places, sizes, y in parts:
+        at = place[own]
+        stays = at >= 0
+        new = np.cumsum(stays, dtype=np.int32) - 1
+        known = stays[places]
+        of = np.repeat(np.arange(len(sizes)), sizes)[known]
+        out.append((at[stays], new[places[known]], np.bincount(of, minlength=len(sizes)), y))
+    return out
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = RANK, penalty: float = PENALTY, seed: int = 7) -> Model:
+    """A model of texts, each a row of its terms' slots.
 
     First linear weights alone, then bias, weights and factors together, by passes over batches of texts.
     rank 0 gives the linear model. Without rows of both labels the model is its bias: the labels'
@@ -153,10 +166,7 @@ def fit(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rank: int = RAN
     bias = Weights(1, LINEAR[1], start=float(np.log((n1 + 0.5) / (n - n1 + 0.5))))
     if not 0 < n1 < n:
         return Model(bias.start, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, rank)))
-    place = np.zeros(SPACE, np.int32)
-    seen = np.flatnonzero(np.bincount(flat, minlength=SPACE))
-    place[seen] = np.arange(len(seen))
-    w = Weights(len(seen), LINEAR[1], penalty * float(np.sqrt(n1 * (n - n1) / n)) * BATCH / n)
+    w = Weights(SPACE, LINEAR[1], penalty * float(np.sqrt(n1 * (n - n1) / n)) * BATCH / n)
 
     def run(parts: list[tuple[np.ndarray, ...]], passes: int, v: np.ndarray, rate: float) -> None:
         order, held = np.random.default_rng(seed), np.full_like(v, 1e-8)
@@ -171,20 +181,18 @@ def fit(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rank: int = RAN
                     held[own] += dv * dv
                     v[own] -= rate * dv / np.sqrt(held[own])
 
-    at = place[flat]
-    run(batches(at, sizes, labels), LINEAR[0], np.zeros((len(seen), 0)), 0.0)
+    parts = batches(rows, labels)
+    run(parts, LINEAR[0], np.zeros((SPACE, 0)), 0.0)
     live = np.flatnonzero(w.of())
     v = np.random.default_rng(seed).normal(0, 0.05, (len(live), rank))
     if rank and len(live):
-        place = np.full(len(seen), -1, np.int32)
+        place = np.full(SPACE, -1, np.int32)
         place[live] = np.arange(len(live))
-        at = place[at]
-        known = at >= 0
-        sizes = np.bincount(np.repeat(np.arange(n), sizes)[known], minlength=n)
+        parts = only(parts, place)
         w.total, w.seen = w.total[live], w.seen[live]
-        run(batches(at[known], sizes, labels), JOINT[0], v, JOINT[1])
-        return Model(float(bias.of()[0]), seen[live], w.of(), v)
-    return Model(float(bias.of()[0]), seen[live], w.of(live), v)
+        run(parts, JOINT[0], v, JOINT[1])
+        return Model(float(bias.of()[0]), live, w.of(), v)
+    return Model(float(bias.of()[0]), live, w.of(live), v)
 
 
 def fold(doc_id: Column) -> Column:
@@ -192,8 +200,8 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def labelled_terms(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Term slots, their numbers and labels of the training rows: labelled, fold not 0, at most about max_rows of them."""
+def labelled_terms(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
+    """Term slots and labels of the training rows: labelled, fold not 0, at most about max_rows of them."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     n = known.count()
     if n > max_rows:
@@ -202,12 +210,14 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, label: str = "toxic", max
     @F.arrow_udf("array<int>")
     def slots(column: pa.Array) -> pa.Array:
         terms = Slots().terms
-        return pa.array([terms(x) for x in texts(column)], pa.list_(pa.int32()))
+        found = [np.array(terms(x), np.int32) for x in texts(column)]
+        ends = np.cumsum([0, *map(len, found)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
 
     rows = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", F.xxhash64("text").alias("h"), "y", slots(F.col("text")).alias("t")).toArrow()  # some 1,000 numbers of 4 bytes for each of max_rows
-    order = pc.sort_indices(rows.select(["doc_id", "h"]), sort_keys=[("doc_id", "ascending"), ("h", "ascending")])  # sums of floats depend on it
-    t = rows["t"].combine_chunks().take(order) if len(rows) else pa.array([], pa.list_(pa.int32()))
-    return t.flatten().to_numpy(), pc.list_value_length(t).to_numpy().astype(np.int64), rows["y"].take(order).to_numpy()
+    found = [x for c in rows["t"].chunks for x in np.split(c.flatten().to_numpy(), np.cumsum(pc.list_value_length(c).to_numpy())[:-1]) if len(c)]  # views
+    order = pc.sort_indices(rows.select(["doc_id", "h"]), sort_keys=[("doc_id", "ascending"), ("h", "ascending")]).to_numpy()  # sums of floats depend on it
+    return [found[i] for i in order], rows["y"].to_numpy()[order]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
@@ -217,7 +227,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     document teach nothing; repeated rows of a labelled document teach as often. Without labels of both
     kinds all scores are the same.
     """
-    return fit(*labelled_terms(docs, labels, label, max_rows))
+    model = fit(*labelled_terms(docs, labels, label, max_rows))
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(text: Column, model: Model) -> Column:

@@ -90,12 +90,11 @@ def test_pairs_beat_linear_weights():
     """Of texts with an insult or a group's name, only those with both are toxic, whatever else they say."""
     rows = corpus(1500)
     terms = toxicity.Slots().terms
-    own = [terms(t) for _, t, _ in rows]
+    own = [np.array(terms(t), np.int32) for _, t, _ in rows]
     y = np.array([label for _, _, label in rows])
-    flat, sizes = np.concatenate([np.array(x, np.int32) for x in own[:1000]]), np.array(list(map(len, own[:1000])))
     right = {}
     for rank in (0, 4):
-        m = toxicity.fit(flat, sizes, y[:1000], rank=rank)
+        m = toxicity.fit(own[:1000], y[:1000], rank=rank)
         known = toxicity.Slots(m.slots).terms
         right[rank] = np.mean((m.scores([known(t) for _, t, _ in rows[1000:]]) >= 0.5) == y[1000:])
     assert right[4] > 0.98 and right[4] >= right[0]
