@@ -14,8 +14,14 @@ def point(kv: DataFrame, shard: int, key: bytes) -> DataFrame:
 
 
 def multi_get(kv: DataFrame, keys: DataFrame) -> DataFrame:
-    """keys (pos, _shard_id, k) with v, null where there is none. Repeated keys get a row each; keys without a shard miss."""
-    return keys.join(kv, [SHARD, "k"], "left")
+    """keys (pos, _shard_id, k) with v, null where there is none, and found, which tells a null value from a miss. Repeated keys get a row each; keys without a shard miss."""
+    return keys.join(kv.withColumn("found", F.lit(True)), [SHARD, "k"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def listed(kv: DataFrame, wanted: dict[int, list[bytes]]) -> DataFrame:
+    """Rows of listed keys, given by shard: only these shards' folders are read, and in them the row groups that may hold a key."""
+    keys = sorted({k for own in wanted.values() for k in own})
+    return kv.where(F.col(SHARD).isin(sorted(wanted)) & F.col("k").isin([F.lit(k) for k in keys]) if keys else F.lit(False))
 
 
 def key_range(kv: DataFrame, start: Column | bytes | None = None, end: Column | bytes | None = None) -> DataFrame:

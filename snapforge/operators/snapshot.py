@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -10,12 +11,15 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapforge.errors import ConfigError
+from snapforge.errors import ConfigError, ShardAssignmentError
 from snapforge.functions.keys import check_encoding, decode_key, encode_key
-from snapforge.operators.sharding import SHARD, ExpressionSharding, HashSharding, check_assigned, check_no_clash, infer_routing_values, last_write_wins, num_shards_for, resolve_num_shards, with_shard_id
+from snapforge.operators.sharding import SHARD, ExpressionSharding, HashSharding, check_no_clash, infer_routing_values, last_write_wins, num_shards_for, resolve_num_shards, routing_agrees, with_shard_id
 from snapforge.sources.manifest import Manifest, ManifestStore
 
 
+BAD_SHARD = "a row is assigned to shard "
+
+
 @dataclass(frozen=True)
 class BuildResult:
     manifest: Manifest
@@ -62,7 +66,12 @@ def build_snapshot(
         n = max(1, len(values))
     else:
         n = sharding.num_shards or resolve_num_shards(rows)
-    check_assigned(rows, n)
+    if isinstance(sharding, HashSharding) and not routing_agrees(rows.where(F.col(key).isNotNull()), key, n):
+        raise ShardAssignmentError("rows are not assigned as a reader would route their keys")
+    # the shards are checked where they are written: the input isn't read for it
+    valid = F.col(SHARD).isNotNull() & (F.col(SHARD) >= 0) & (F.col(SHARD) < n)
+    wrong = F.raise_error(F.concat(F.lit(BAD_SHARD), F.coalesce(F.col(SHARD).cast("string"), F.lit("None")), F.lit(f" of {n}"))).cast("int")
+    rows = rows.withColumn(SHARD, F.when(valid, F.col(SHARD)).otherwise(wrong))
 
     made = rows.select(SHARD, encode_key(F.col(key), key_encoding).alias("k"), value.alias("v"), *(_vector(*vector) if vector else ()), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
     kept = last_write_wins(made, [SHARD, "k"], [f"_o{i}" for i in range(len(order))]) if order else made
@@ -70,7 +79,13 @@ def build_snapshot(
     emit("write_started", {"run_id": run_id, "num_shards": n})
     dealt = kept.select(*columns).repartitionById(n, SHARD) if files_per_shard == 1 else kept.select(*columns).repartitionByRange(n * files_per_shard, SHARD, "k")
     shards = dealt.sortWithinPartitions(SHARD, "k")
-    shards.write.partitionBy(SHARD).parquet(store.folder(run_id, "data"))
+    try:
+        shards.write.partitionBy(SHARD).parquet(store.folder(run_id, "data"))
+    except Exception as error:
+        store.files.delete(f"runs/run_id={run_id}")
+        if found := re.search(re.escape(BAD_SHARD) + r"\S+ of \d+", str(error)):
+            raise ShardAssignmentError(found[0]) from error
+        raise
     written = df.sparkSession.read.schema(kept.select(*columns).schema).parquet(store.folder(run_id, "data"))
     if not order and (repeated := written.groupBy(SHARD, "k").count().where("count > 1").limit(1).collect()):
         store.files.delete(f"runs/run_id={run_id}")
@@ -82,8 +97,9 @@ def build_snapshot(
     stats = stats.join(made.groupBy(SHARD).agg(F.count("*").alias("row_count")), SHARD) if order else stats.withColumn("row_count", F.col("num_keys"))
     stats = stats.select(SHARD, "row_count", "num_keys", decode_key(F.col("_min"), key_encoding, kind).alias("min_key"), decode_key(F.col("_max"), key_encoding, kind).alias("max_key"), "db_bytes")
     stats.coalesce(1).sortWithinPartitions(SHARD).write.parquet(store.folder(run_id, "shards"))  # a row for each shard
-    total = store.shards(run_id).agg(F.coalesce(F.sum("row_count"), F.lit(0))).first()[0]
-    manifest = Manifest(run_id, datetime.now(UTC).isoformat(), n, key, kind, key_encoding, _describe(sharding, values), int(total), custom=(custom or {}) | ({"vector": {"id": vector[0], "column": vector[1]}} if vector else {}))
+    total = df.sparkSession.read.schema(stats.schema).parquet(store.folder(run_id, "shards")).agg(F.coalesce(F.sum("row_count"), F.lit(0))).first()[0]
+    schemas = {"data": kept.select(*columns).schema.json(), "shards": stats.schema.json()}
+    manifest = Manifest(run_id, datetime.now(UTC).isoformat(), n, key, kind, key_encoding, _describe(sharding, values), int(total), schemas=schemas, custom=(custom or {}) | ({"vector": {"id": vector[0], "column": vector[1]}} if vector else {}))
     emit("shards_written", {"run_id": run_id, "rows_written": int(total)})
     store.publish(manifest)
     emit("published", {"run_id": run_id})

@@ -77,6 +77,9 @@ def build_vector_snapshot(df: DataFrame, root: str, id_column: str, vector_colum
     rows.select(SHARD, F.col(id_column).alias("vec_id"), vector.alias("embedding"), made.alias("payload")).repartitionById(n, SHARD).sortWithinPartitions(SHARD, "vec_id").write.partitionBy(SHARD).parquet(store.folder(run_id, "data"))
     written = store.data(run_id)
     written.groupBy(SHARD).agg(F.count("*").alias("row_count"), F.min("vec_id").alias("min_key"), F.max("vec_id").alias("max_key")).coalesce(1).write.parquet(store.folder(run_id, "shards"))
+    if repeated := written.groupBy("vec_id").count().where("count > 1").limit(1).collect():
+        store.files.delete(f"runs/run_id={run_id}")
+        raise ConfigError(f"the vector id {repeated[0]['vec_id']} repeats")
     total = store.shards(run_id).agg(F.coalesce(F.sum("row_count"), F.lit(0))).first()[0]
     if routing is not None:
         store.files.write(f"runs/run_id={run_id}/routing", json.dumps(routing.tolist()))
@@ -117,8 +120,12 @@ class VectorSnapshot:
         asked = [(i, [float(x) for x in q], self.route(q, num_probes, shards)) for i, q in enumerate(queries)]
         frame = self.spark.createDataFrame(asked, "query_id int, embedding array<float>, shards array<int>")
         rows = self.rows.where(F.col("shard").isin(sorted({s for _, _, own in asked for s in own})))
-        hits = vectors.exact_search(rows, frame, k, self.metric)
-        return hits.join(rows.select("vec_id", "payload"), "vec_id").select("query_id", "rank", "vec_id", "score", "payload")
+        return vectors.exact_search(rows, frame, k, self.metric, carry=("payload",))
+
+    def search_table(self, queries: DataFrame, k: int = 10, shards: Sequence[int] | None = None) -> DataFrame:
+        """The same for a table (query_id, embedding) of queries, in all shards or those given."""
+        rows = self.rows if shards is None else self.rows.where(F.col("shard").isin(list(shards)))
+        return vectors.exact_search(rows, queries, k, self.metric, carry=("payload",))
 
     def shards(self) -> DataFrame:
         ids = self.spark.range(self.manifest.num_shards).select(F.col("id").cast("int").alias(SHARD))

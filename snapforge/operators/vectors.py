@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -112,24 +113,30 @@ def probe_lsh(query: np.ndarray, planes: np.ndarray, num_shards: int, num_probes
     return list(dict.fromkeys(c % num_shards for c in codes))[: max(1, num_probes)]
 
 
-def exact_search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2") -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest vectors, by score, then id. Lower scores are nearer.
+def exact_search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", carry: Sequence[str] = ()) -> DataFrame:
+    """(query_id, rank, vec_id, score) and `carry`, columns of the vectors' rows: each query's k nearest vectors, by score, then id. Lower scores are nearer.
 
     vectors (vec_id, embedding[, shard]) are compared, batch by batch, with all queries (query_id,
     embedding[, shards]); each batch passes on its own k best, and a window over those, k for each batch
     and query, merges them. A query with `shards` is compared with vectors of these shards only. Null
-    vectors are left out. Queries are shipped up to MAX_SHIPPED numbers; more are an error that asks for blocks.
+    vectors are left out. Rows that repeat a vec_id are hits of their own. Queries are counted first; they are
+    shipped up to MAX_SHIPPED numbers at a time, and more are searched in blocks, dealt by the hash of their id.
     """
     metric = metric_name(metric)
     probed = "shards" in queries.columns
-    rows = queries.select("query_id", "embedding", *["shards"] * probed).where("embedding IS NOT NULL").toArrow()
+    queries = queries.select("query_id", "embedding", *["shards"] * probed).where("embedding IS NOT NULL")
+    n_blocks = -(-int(queries.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0]) // MAX_SHIPPED)
+    if n_blocks > 1:
+        block = F.pmod(F.xxhash64("query_id"), F.lit(2 * n_blocks))  # of uneven size: some room is left
+        found = [exact_search(vectors, queries.where(block == b), k, metric, carry) for b in range(2 * n_blocks)]
+        return reduce(DataFrame.unionAll, found)
+    rows = queries.toArrow()
     kind = queries.schema["query_id"].dataType.simpleString()
     own_kind = vectors.schema["vec_id"].dataType.simpleString()
+    carried = "".join(f", {c} {vectors.schema[c].dataType.simpleString()}" for c in carry)
     if not len(rows):
-        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {own_kind}, score double")
+        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {own_kind}, score double{carried}")
     dim = len(rows["embedding"][0])
-    if len(rows) * dim > MAX_SHIPPED:
-        raise ConfigError(f"{len(rows)} queries of {dim} numbers are too many at once: search in blocks of queries")
     asked = matrix(rows["embedding"], dim)
     ids = rows["query_id"].combine_chunks()
     wanted = [np.array(x) for x in rows["shards"].to_pylist()] if probed else None
@@ -158,17 +165,17 @@ def exact_search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: st
                     of.append(np.full(len(near), start + i))
                     at.append(near)
                 of, at = np.concatenate(of), np.concatenate(at)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), batch.column("vec_id").take(pa.array(at)), pa.array(d[of - start, at])], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), batch.column("vec_id").take(pa.array(at)), pa.array(d[of - start, at]), *[batch.column(c).take(pa.array(at)) for c in carry]], names=["query_id", "vec_id", "score", *carry])
 
-    source = vectors.where("embedding IS NOT NULL").select("vec_id", "embedding", *["shard"] * probed)
-    near = source.mapInArrow(search, f"query_id {kind}, vec_id {own_kind}, score double")
+    source = vectors.where("embedding IS NOT NULL").select("vec_id", "embedding", *["shard"] * probed, *carry)
+    near = source.mapInArrow(search, f"query_id {kind}, vec_id {own_kind}, score double{carried}")
     return merge(near, k)
 
 
 def merge(results: DataFrame, k: int) -> DataFrame:
     """The k best of each query over all shards' results, by score, then id. Spark prunes each partition to k first."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return results.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return results.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", *[c for c in results.columns if c not in ("query_id", "vec_id", "score")])
 
 
 def search_by_join(vectors: DataFrame, probes: DataFrame, k: int = 10, metric: str = "l2") -> DataFrame:

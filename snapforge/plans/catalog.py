@@ -1,8 +1,6 @@
 """Registered queries of the snapshot engine over the test tables, and their SQL.
 
-All run over whole tables, but six vector searches ask only their first ASKED vectors: knn_l2, knn_cosine,
-knn_dot_product, knn_probed, knn_filtered_shard and unified_search_hydrate, whose SQL fixes that. The
-searches named ..._every_50th ask every row whose id is divisible by 50.
+All run over whole tables. Vector searches ask every row whose id is divisible by EVERY, against all rows.
 """
 
 from __future__ import annotations
@@ -315,7 +313,7 @@ def snapshot_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Vectors
 
 #: The first vectors of the table serve as centroids, planes and queries, so that SQL can name them too.
-CENTROIDS, PLANES, ASKED, K = 16, 8, 20, 10
+CENTROIDS, PLANES, K = 16, 8, 10
 #: Searches over the whole table ask every row whose id is divisible by this.
 EVERY = 50
 
@@ -349,21 +347,8 @@ def _cluster(metric: str) -> None:
     query(sql)(run)
 
 
-def _knn(metric: str) -> None:
-    sql = f"WITH {VECTORS}, q AS (SELECT vec_id AS query_id, e AS q FROM v WHERE vec_id < {ASKED}) SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT query_id, vec_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id))::INT AS rank FROM (SELECT query_id, vec_id, {_distance_sql('q', 'e', metric)} AS score FROM q, v)) WHERE rank <= {K}"
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = _vectors(spark, sf_dir)
-        asked = own.where(F.col("vec_id") < ASKED).withColumnRenamed("vec_id", "query_id")
-        return vectors.exact_search(own, asked, K, metric).withColumn("score", F.round("score", 6))
-
-    run.__name__ = f"knn_{metric}"
-    query(sql)(run)
-
-
 for _metric in ("l2", "cosine", "dot_product"):
     _cluster(_metric)
-    _knn(_metric)
 
 
 @query(f"WITH {VECTORS}, p AS (SELECT vec_id AS i, e AS p FROM v WHERE vec_id < {PLANES}) SELECT vec_id, sum(CASE WHEN list_inner_product(e, p) > 0 THEN 1 << i ELSE 0 END)::BIGINT AS code, (sum(CASE WHEN list_inner_product(e, p) > 0 THEN 1 << i ELSE 0 END) % 6)::INT AS shard_id FROM v, p GROUP BY vec_id")
@@ -372,30 +357,6 @@ def lsh_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).select("vec_id", vectors.lsh_code(F.col("embedding"), planes.tolist()).alias("code"), vectors.assign_lsh(F.col("embedding"), planes, 6).alias("shard_id"))
 
 
-@query(f"WITH {VECTORS}, c AS (SELECT vec_id AS centroid, e AS c FROM v WHERE vec_id < {CENTROIDS}), d AS (SELECT vec_id, e, centroid, {_distance_sql('e', 'c', 'l2')} AS d FROM v, c), s AS (SELECT vec_id, any_value(e) AS e, arg_min(centroid, (d, centroid)) AS shard FROM d GROUP BY vec_id), p AS (SELECT vec_id AS query_id, e AS q, centroid AS shard FROM d WHERE vec_id < {ASKED} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, centroid) <= 3) SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT query_id, vec_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id))::INT AS rank FROM (SELECT query_id, vec_id, {_distance_sql('q', 'e', 'l2')} AS score FROM p JOIN s USING (shard))) WHERE rank <= {K}")
-def knn_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    centers = _first(spark, sf_dir, CENTROIDS)
-    own = _vectors(spark, sf_dir).withColumn("shard", vectors.assign_cluster(F.col("embedding"), centers))
-    asked = [(i, [float(x) for x in q], vectors.probe_clusters(q, centers, 3)) for i, q in enumerate(_first(spark, sf_dir, ASKED))]
-    queries = spark.createDataFrame(asked, "query_id bigint, embedding array<float>, shards array<int>")
-    return vectors.exact_search(own, queries, K).withColumn("score", F.round("score", 6))
-
-
-@query(f"WITH {VECTORS}, s AS (SELECT v.*, vec_id % 4 AS shard FROM v), q AS (SELECT vec_id AS query_id, e AS q FROM v WHERE vec_id < {ASKED}) SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT query_id, vec_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id))::INT AS rank FROM (SELECT query_id, vec_id, {_distance_sql('q', 'e', 'cosine')} AS score FROM q, s WHERE shard IN (1, 3))) WHERE rank <= {K}")
-def knn_filtered_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Explicit shards, by a join of probes with the vectors of their shards."""
-    own = _vectors(spark, sf_dir).withColumn("shard", (F.col("vec_id") % 4).cast("int"))
-    probes = own.where(F.col("vec_id") < ASKED).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.explode(F.array(F.lit(1), F.lit(3))).alias("shard"))
-    return vectors.search_by_join(own, probes, K, "cosine").withColumn("score", F.round("score", 6))
-
-
-@query(f"WITH {VECTORS}, q AS (SELECT vec_id AS query_id, e AS q FROM v WHERE vec_id < {ASKED}) SELECT query_id, rank, vec_id, round(score, 6) AS score, lang, n_chars FROM (SELECT query_id, vec_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id))::INT AS rank FROM (SELECT query_id, vec_id, {_distance_sql('q', 'e', 'l2')} AS score FROM q, v)) JOIN documents ON doc_id = vec_id WHERE rank <= {K}")
-def unified_search_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _vectors(spark, sf_dir)
-    hits = vectors.exact_search(own, own.where(F.col("vec_id") < ASKED).withColumnRenamed("vec_id", "query_id"), K).withColumn("score", F.round("score", 6))
-    return hits.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "n_chars"), "vec_id")
-
-
 @query(f"WITH {VECTORS} SELECT a.vec_id AS a, b.vec_id AS b, round({_distance_sql('a.e', 'b.e', 'cosine')}, 6) AS d FROM v a JOIN v b ON b.vec_id = a.vec_id + 1")
 def vector_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _vectors(spark, sf_dir)
@@ -420,7 +381,7 @@ def _knn_every(metric: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return vectors.exact_search(_vectors(spark, sf_dir), _every(spark, sf_dir), K, metric).withColumn("score", F.round("score", 6))
 
-    run.__name__ = f"knn_{metric}_every_50th"
+    run.__name__ = f"knn_{metric}"
     query(f"WITH {VECTORS}, {EVERY_SQL} {_ranked_sql(f'SELECT query_id, vec_id, {_distance_sql('q', 'e', metric)} AS score FROM q, v')} WHERE rank <= {K}")(run)
 
 
@@ -429,7 +390,7 @@ for _metric in ("l2", "cosine", "dot_product"):
 
 
 @query(f"WITH {VECTORS}, c AS (SELECT vec_id AS centroid, e AS c FROM v WHERE vec_id < {CENTROIDS}), d AS (SELECT vec_id, e, centroid, {_distance_sql('e', 'c', 'l2')} AS d FROM v, c), s AS (SELECT vec_id, any_value(e) AS e, arg_min(centroid, (d, centroid)) AS shard FROM d GROUP BY vec_id), p AS (SELECT vec_id AS query_id, e AS q, centroid AS shard FROM d WHERE vec_id % {EVERY} = 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, centroid) <= 3) {_ranked_sql(f'SELECT query_id, vec_id, {_distance_sql('q', 'e', 'l2')} AS score FROM p JOIN s USING (shard)')} WHERE rank <= {K}")
-def knn_probed_every_50th(spark: SparkSession, sf_dir: str) -> DataFrame:
+def knn_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes come from the plan; only the centroids are on the driver."""
     centers = _first(spark, sf_dir, CENTROIDS)
     own = _vectors(spark, sf_dir).withColumn("shard", vectors.assign_cluster(F.col("embedding"), centers))
@@ -438,7 +399,7 @@ def knn_probed_every_50th(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {VECTORS}, s AS (SELECT v.*, vec_id % 4 AS shard FROM v), {EVERY_SQL} {_ranked_sql(f'SELECT query_id, vec_id, {_distance_sql('q', 'e', 'cosine')} AS score FROM q, s WHERE shard IN (1, 3)')} WHERE rank <= {K}")
-def knn_filtered_shard_every_50th(spark: SparkSession, sf_dir: str) -> DataFrame:
+def knn_filtered_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Explicit shards. The queries are shipped: two shards would be two keys of a join."""
     own = _vectors(spark, sf_dir).withColumn("shard", (F.col("vec_id") % 4).cast("int")).where(F.col("shard").isin(1, 3))
     asked = _every(spark, sf_dir).withColumn("shards", F.array(F.lit(1), F.lit(3)))
@@ -446,7 +407,7 @@ def knn_filtered_shard_every_50th(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 @query(f"WITH {VECTORS}, {EVERY_SQL} {_ranked_sql(f'SELECT query_id, vec_id, {_distance_sql('q', 'e', 'l2')} AS score FROM q, v', ', lang, n_chars')} JOIN documents ON doc_id = vec_id WHERE rank <= {K}")
-def unified_search_hydrate_every_50th(spark: SparkSession, sf_dir: str) -> DataFrame:
+def unified_search_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = vectors.exact_search(_vectors(spark, sf_dir), _every(spark, sf_dir), K).withColumn("score", F.round("score", 6))
     return hits.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "n_chars"), "vec_id")
 

@@ -17,6 +17,7 @@ from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from snapforge.errors import ManifestError, PublishError, StateError
 
@@ -36,6 +37,8 @@ class Manifest:
     rows_written: int = 0
     format_version: int = FORMAT
     custom: dict = field(default_factory=dict)
+    #: Schemas of data and shards, as JSON: a snapshot without rows has no file to tell them.
+    schemas: dict = field(default_factory=dict)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
@@ -180,10 +183,18 @@ class ManifestStore:
         return run_id
 
     def shards(self, run_id: str) -> DataFrame:
-        return self.spark.read.parquet(self.folder(run_id, "shards"))
+        return self._table(run_id, "shards")
 
     def data(self, run_id: str) -> DataFrame:
-        return self.spark.read.parquet(self.folder(run_id, "data"))
+        return self._table(run_id, "data")
+
+    def _table(self, run_id: str, part: str) -> DataFrame:
+        """A run's table, by the manifest's schema if it is published with one."""
+        made = self.load(run_id)
+        reader = self.spark.read
+        if made and part in made.schemas:
+            reader = reader.schema(StructType.fromJson(json.loads(made.schemas[part])))
+        return reader.parquet(self.folder(run_id, part))
 
     def delete_runs(self, run_ids: list[str], dry_run: bool = True) -> list[str]:
         """Delete runs, never the current one. Returns those that are (or would be) deleted."""

@@ -19,6 +19,10 @@ from snapforge.operators.vectors import exact_search
 from snapforge.sources.manifest import Manifest, ManifestStore
 
 
+#: Keys of a list that are looked up by their shards; longer lists are joined.
+LISTED = 10_000
+
+
 class Snapshot:
     """A reader pinned to one manifest until refresh(). Spark plans read a fixed list of files, so what is under way is not disturbed."""
 
@@ -80,10 +84,28 @@ class Snapshot:
         return bytes(rows[0]["v"]) if rows and rows[0]["v"] is not None else None
 
     def multi_get(self, keys: Sequence | DataFrame, context: dict | None = None) -> DataFrame:
-        """(pos, key, v) in any order: for a list of keys, or a table (pos, key and routing columns) of any size."""
-        frame = keys if isinstance(keys, DataFrame) else self._frame(keys, context)
-        found = lookup.multi_get(self.kv.select(SHARD, "k", "v"), self.route(frame))
-        return found.select("pos", F.col(self.manifest.key_column).alias("key"), "v")
+        """(pos, key, v, found) in any order: for a list of keys, or a table (pos, key and routing columns) of any size.
+
+        Up to LISTED keys read only their own shards, and in them the row groups that may hold them.
+        """
+        self._open()
+        kv = self.kv.select(SHARD, "k", "v")
+        if isinstance(keys, DataFrame) or len(keys) > LISTED:
+            asked = self.route(keys if isinstance(keys, DataFrame) else self._frame(keys, context))
+        else:
+            wanted: dict[int, list[bytes]] = {}
+            routed = self.route(self._frame(keys, context)).select("pos", self.manifest.key_column, SHARD, "k")
+            if self.manifest.sharding["strategy"] == "hash":
+                places = [(shard_of(k, self.manifest.num_shards), lookup_key(k, self.manifest.key_encoding)) for k in keys]
+            else:
+                places = [(r[SHARD], bytes(r["k"])) for r in routed.collect()]
+            for shard, k in places:
+                if shard is not None and 0 <= shard < self.manifest.num_shards:
+                    wanted.setdefault(shard, []).append(k)
+            met = lookup.listed(kv, wanted).join(F.broadcast(routed), [SHARD, "k"]).select("pos", "v", F.lit(True).alias("found"))  # LISTED keys at most are shipped
+            return routed.join(met, "pos", "left").select("pos", F.col(self.manifest.key_column).alias("key"), "v", F.coalesce("found", F.lit(False)).alias("found"))
+        found = lookup.multi_get(kv, asked)
+        return found.select("pos", F.col(self.manifest.key_column).alias("key"), "v", "found")
 
     def get_many(self, keys: Sequence, context: dict | None = None) -> dict:
         """multi_get as a dict in request order, repeated keys once."""
@@ -103,8 +125,7 @@ class Snapshot:
             raise ConfigError("the snapshot has no vectors")
         frame = queries if isinstance(queries, DataFrame) else self.spark.createDataFrame([(0, [float(x) for x in np.asarray(queries)])], "query_id int, embedding array<float>")
         rows = self.kv if shards is None else self.kv.where(F.col(SHARD).isin(list(shards)))
-        hits = exact_search(rows, frame, k, metric)
-        return hits.join(rows.select("vec_id", "payload", "v"), "vec_id").select("query_id", "rank", "vec_id", "score", "payload", "v")
+        return exact_search(rows, frame, k, metric, carry=("payload", "v"))
 
     def info(self) -> dict:
         self._open()

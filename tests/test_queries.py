@@ -4,6 +4,7 @@ import sys
 import pytest
 
 import __spark_entry__ as driver
+from snapforge.plans import snapshots  # noqa: F401
 from snapforge.plans.catalog import QUERIES, SQL
 from tests.compare import same
 from tests.conftest import CHECKED, ROOT
