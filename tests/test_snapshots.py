@@ -182,3 +182,22 @@ def test_stream(spark, tmp_path):
     assert query.awaitTermination(120)
     s = Snapshot(spark, str(tmp_path / "out"))
     assert s.manifest.run_id == "batch-000000000000" and s.kv.count() == 60 and s.get(59) == b"payload-59"
+
+
+def test_listed_keys_read_only_their_shards(spark, tmp_path):
+    build_snapshot(frame(spark), str(tmp_path), "id", F.when(F.col("id") != 4, F.encode("payload", "UTF-8")), HashSharding(5))
+    s = Snapshot(spark, str(tmp_path))
+    found = s.multi_get([3, 4, 1000, 3])
+    got = {r["pos"]: (r["key"], None if r["v"] is None else bytes(r["v"]), r["found"]) for r in found.collect()}
+    assert got == {0: (3, b"payload-3", True), 1: (4, None, True), 2: (1000, None, False), 3: (3, b"payload-3", True)}
+    wanted = sorted({shard_of(k, 5) for k in (3, 4, 1000)})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(wanted) < 5 and f"{SHARD}#" in plan and f"IN ({','.join(map(str, wanted))})" in plan.replace(", ", ",").replace(" IN (", " IN (")
+    assert s.multi_get([]).count() == 0 and s.multi_get(spark.createDataFrame([(0, 7)], "pos int, key long")).first()["found"]
+
+
+def test_an_empty_snapshot_opens(spark, tmp_path):
+    build_snapshot(frame(spark).limit(0), str(tmp_path), "id", F.encode("payload", "UTF-8"), HashSharding(3))
+    s = Snapshot(spark, str(tmp_path))
+    assert s.get(1) is None and s.get_many([1, 2]) == {1: None, 2: None} and s.scan().count() == 0 and s.info()["row_count"] == 0
+    assert [r["row_count"] for r in s.shards().collect()] == [0, 0, 0]

@@ -109,7 +109,7 @@ def test_probes_in_the_plan(spark):
 def test_queries_grow_with_the_table(spark, name):
     own = spark.read.parquet(f"{CHECKED}/embeddings.parquet")
     want = {r[0] for r in own.where("vec_id % 50 = 0").select("vec_id").collect()}
-    assert len(want) == 10 and {r["query_id"] for r in QUERIES[f"{name}_every_50th"](spark, CHECKED).collect()} == want
+    assert len(want) == 10 and {r["query_id"] for r in QUERIES[name](spark, CHECKED).collect()} == want
 
 
 def test_kmeans_query_trains_on_all_vectors(spark, tmp_path):
@@ -119,3 +119,14 @@ def test_kmeans_query_trains_on_all_vectors(spark, tmp_path):
     table(spark, x).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     centers = [r["center"] for r in QUERIES["kmeans_train"](spark, str(tmp_path)).collect()]
     assert len(centers) == 8 and any(min(c) > 900 for c in centers)
+
+
+def test_queries_in_blocks_and_repeated_ids(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 4))
+    own = spark.createDataFrame([(i % 50, [float(v) for v in e], f"row {i}") for i, e in enumerate(x)], "vec_id long, embedding array<float>, payload string")
+    asked = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(20)], "query_id int, embedding array<float>")
+    want = sorted(map(tuple, vectors.exact_search(own, asked, 5, carry=("payload",)).collect()))
+    assert len(want) == 100 and all(sum(r[0] == i for r in want) == 5 for i in range(20)) and all((i, 1, i, 0.0, f"row {i}") in want for i in range(10))
+    monkeypatch.setattr(vectors, "MAX_SHIPPED", 16)
+    assert sorted(map(tuple, vectors.exact_search(own, asked, 5, carry=("payload",)).collect())) == want
