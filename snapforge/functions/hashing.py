@@ -15,6 +15,8 @@ import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from snapforge.errors import ConfigError
+
 #: Fixed values of the 8-byte case of XXH3 with seed 0.
 XXH3_SECRET_MIX = 0xC73AB174C5ECD5A2
 XXH3_PRIME = 0x9FB21C651E98DF25
@@ -35,6 +37,8 @@ def hash_integers(keys: np.ndarray) -> np.ndarray:
 
 def canonical_bytes(key: int | str | bytes) -> bytes:
     if isinstance(key, int):
+        if not -(1 << 63) <= key < 1 << 63:
+            raise ConfigError(f"the key {key} is not a 64-bit integer")
         return key.to_bytes(8, "little", signed=True)
     if isinstance(key, str):
         return key.encode("utf-8")

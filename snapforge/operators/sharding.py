@@ -16,6 +16,8 @@ from snapforge.functions.hashing import hash_shard, shard_of
 SHARD = "_shard_id"
 #: Categories up to so many are compared in place; longer lists are joined, and Spark checks their size before it broadcasts them.
 IN_PLACE = 256
+#: Categories that may be inferred: they are held by the driver and the manifest.
+MAX_CATEGORIES = 100_000
 
 
 @dataclass(frozen=True)
@@ -89,7 +91,12 @@ def tokens(df: DataFrame, sharding: ExpressionSharding) -> DataFrame:
 
 
 def infer_routing_values(df: DataFrame, sharding: ExpressionSharding) -> list:
-    return [r["token"] for r in tokens(df, sharding).orderBy("shard").collect()]  # one per shard
+    """The distinct categories in order, a shard each; more than MAX_CATEGORIES are an error. Strings are in the order of their UTF-8 bytes, as in `tokens`."""
+    made = compile_expression(sharding.expression, sharding.columns)
+    found = [r[0] for r in df.select(made.column.alias("token")).where("token IS NOT NULL").distinct().limit(MAX_CATEGORIES + 1).collect()]
+    if len(found) > MAX_CATEGORIES:
+        raise ConfigError(f"more than {MAX_CATEGORIES} categories: each would be a shard")
+    return sorted(bytes(v) if isinstance(v, bytearray) else v for v in found)  # code points order as UTF-8 bytes do
 
 
 def token_shard(df: DataFrame, token: Column, values: Sequence, name: str = SHARD, strict: bool = True) -> DataFrame:
@@ -106,7 +113,7 @@ def token_shard(df: DataFrame, token: Column, values: Sequence, name: str = SHAR
 
 
 def with_shard_id(df: DataFrame, sharding: HashSharding | ExpressionSharding, key: str, name: str = SHARD, strict: bool = True) -> DataFrame:
-    """df with its rows' shards. Null keys and direct results that are null have a null shard: see check_assigned."""
+    """df with its rows' shards. Null keys and direct results that are null have a null shard, which a build refuses where it writes."""
     check_no_clash(df, name)
     if isinstance(sharding, HashSharding):
         n = sharding.num_shards or num_shards_for(df, sharding.max_keys_per_shard)
@@ -119,13 +126,6 @@ def with_shard_id(df: DataFrame, sharding: HashSharding | ExpressionSharding, ke
     return df.withColumn(name, made.column.cast("int"))
 
 
-def check_assigned(df: DataFrame, num_shards: int, name: str = SHARD) -> None:
-    """An error if a row's shard is null or not one of num_shards."""
-    bad = df.where(F.col(name).isNull() | (F.col(name) < 0) | (F.col(name) >= num_shards)).select(name).limit(1).collect()
-    if bad:
-        raise ShardAssignmentError(f"a row is assigned to shard {bad[0][0]} of {num_shards}")
-
-
 def dense_shards(df: DataFrame, name: str = SHARD) -> DataFrame:
     """num_shards, distinct_shards and dense: are the shards 0 to n - 1, each with rows. No rows: one shard."""
     x = df.agg(F.max(name).alias("m"), F.count_distinct(name).alias("d"))

@@ -8,16 +8,18 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapforge.errors import ConfigError, ShardAssignmentError
 from snapforge.functions.keys import check_encoding, decode_key, encode_key
 from snapforge.operators.sharding import SHARD, ExpressionSharding, HashSharding, check_no_clash, infer_routing_values, last_write_wins, num_shards_for, resolve_num_shards, routing_agrees, with_shard_id
 from snapforge.sources.manifest import Manifest, ManifestStore
+from snapforge.sources.runs import RunRegistry
 
 
 BAD_SHARD = "a row is assigned to shard "
+REPEATED = "this key repeats: "
 
 
 @dataclass(frozen=True)
@@ -34,10 +36,25 @@ def _describe(sharding: HashSharding | ExpressionSharding, values: Sequence | No
     return {"strategy": "expression", "expression": sharding.expression, "columns": dict(sharding.columns), "routing_values": None if values is None else [show(v) for v in values]}
 
 
+def new_run_id() -> str:
+    return f"{datetime.now(UTC):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+
+
+def refuse_repeats(dealt: DataFrame, key: str, value: str, shown: Column) -> DataFrame:
+    """dealt, whose `value` is an error in each second row of a key.
+
+    Rows are dealt by shard already, so the window takes them as they lie, and its sort is that of the
+    written files: repeats cost no shuffle of their own.
+    """
+    place = F.row_number().over(Window.partitionBy(SHARD, key).orderBy(key))
+    kind = dealt.schema[value].dataType
+    return dealt.withColumn("_place", place).withColumn(value, F.when(F.col("_place") > 1, F.raise_error(F.concat(F.lit(REPEATED), shown)).cast(kind)).otherwise(F.col(value))).drop("_place")
+
+
 def build_snapshot(
     df: DataFrame, root: str, key: str, value: Column, sharding: HashSharding | ExpressionSharding, key_encoding: str = "u64be",
     order: Sequence[str] = (), vector: tuple[str, str, Sequence[str]] | None = None, run_id: str | None = None, custom: dict | None = None, files_per_shard: int = 1,
-    emit: Callable[[str, dict], None] | None = None,
+    emit: Callable[[str, dict], None] | None = None, registry: RunRegistry | None = None,
 ) -> BuildResult:
     """Write df as an immutable snapshot under root and make it current.
 
@@ -47,11 +64,16 @@ def build_snapshot(
     One partition holds one shard, sorted by key, so lookups prune by folder and by row group. Shards
     too large for one task are split by key range over about files_per_shard tasks; that is also the way
     to one sorted shard of everything (HashSharding(1)). emit is called with events: see snapforge.metrics.
+    registry keeps a record of the build while it runs, and of how it ended.
     """
+    if registry is not None:
+        run_id = run_id or new_run_id()
+        with registry.running(run_id):
+            return build_snapshot(df, root, key, value, sharding, key_encoding, order, vector, run_id, custom, files_per_shard, emit)
     emit = emit or (lambda event, fields: None)
     check_no_clash(df)
     check_encoding(dict(df.dtypes)[key], key_encoding)
-    run_id = run_id or f"{datetime.now(UTC):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    run_id = run_id or new_run_id()
     store = ManifestStore(df.sparkSession, root)
     values = None
     if isinstance(sharding, ExpressionSharding) and (sharding.infer or sharding.routing_values is not None):
@@ -78,18 +100,17 @@ def build_snapshot(
     columns = [SHARD, "k", "v", *(["vec_id", "embedding", "payload"] if vector else [])]
     emit("write_started", {"run_id": run_id, "num_shards": n})
     dealt = kept.select(*columns).repartitionById(n, SHARD) if files_per_shard == 1 else kept.select(*columns).repartitionByRange(n * files_per_shard, SHARD, "k")
-    shards = dealt.sortWithinPartitions(SHARD, "k")
+    shards = (dealt if order else refuse_repeats(dealt, "k", "v", F.hex("k"))).sortWithinPartitions(SHARD, "k")
     try:
         shards.write.partitionBy(SHARD).parquet(store.folder(run_id, "data"))
     except Exception as error:
         store.files.delete(f"runs/run_id={run_id}")
         if found := re.search(re.escape(BAD_SHARD) + r"\S+ of \d+", str(error)):
             raise ShardAssignmentError(found[0]) from error
+        if found := re.search(re.escape(REPEATED) + r"([0-9A-F]*)", str(error)):
+            raise ConfigError(f"the key {found[1].lower()} repeats: say which row is the last with order") from error
         raise
     written = df.sparkSession.read.schema(kept.select(*columns).schema).parquet(store.folder(run_id, "data"))
-    if not order and (repeated := written.groupBy(SHARD, "k").count().where("count > 1").limit(1).collect()):
-        store.files.delete(f"runs/run_id={run_id}")
-        raise ConfigError(f"the key {bytes(repeated[0]['k']).hex()} repeats: say which row is the last with order")
     kind = dict(df.dtypes)[key]
     stats = written.groupBy(SHARD).agg(  # the input is not read again, unless its rows were reduced
         F.count("*").alias("num_keys"), F.min("k").alias("_min"), F.max("k").alias("_max"), F.sum(F.length("k") + F.coalesce(F.length("v"), F.lit(0))).cast("long").alias("db_bytes")

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import json
-import uuid
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapforge.errors import ConfigError, ManifestError, StateError
+from snapforge.errors import ConfigError, ManifestError, ShardAssignmentError, StateError
 from snapforge.functions.vectors import metric_name
 from snapforge.operators import vectors
-from snapforge.operators.sharding import SHARD, ExpressionSharding, check_assigned, resolve_num_shards, with_shard_id
+from snapforge.operators.sharding import SHARD, ExpressionSharding, resolve_num_shards, with_shard_id
+from snapforge.operators.snapshot import BAD_SHARD, new_run_id
 from snapforge.sources.manifest import Manifest, ManifestStore
 
 
@@ -46,12 +47,30 @@ class ColumnSharding:
     column: str
 
 
+def vector_id(df: DataFrame, name: str) -> Column:
+    """An id as it is if it is an integer or a string, as an integer if it is another number or a boolean, else as a string."""
+    kind = dict(df.dtypes)[name]
+    if kind in ("tinyint", "smallint", "int", "bigint", "string"):
+        return F.col(name)
+    return F.col(name).cast("bigint" if kind in ("float", "double", "boolean") or kind.startswith("decimal") else "string")
+
+
+def as_vector(df: DataFrame, name: str) -> Column:
+    """A vector as floats, from an array of numbers or a string that lists them. A string that lists none is null, which a build refuses."""
+    return F.from_json(F.col(name), "array<float>") if dict(df.dtypes)[name] == "string" else F.col(name).cast("array<float>")
+
+
 def build_vector_snapshot(df: DataFrame, root: str, id_column: str, vector_column: str, sharding: ClusterSharding | PlaneSharding | ColumnSharding | ExpressionSharding, payload: Sequence[str] = (), metric: str = "l2", run_id: str | None = None) -> Manifest:
-    """Write df's vectors under root by shard and make them current. Null vectors are an error; what routes them is kept beside them."""
+    """Write df's vectors under root by shard and make them current.
+
+    Null vectors and repeated ids are an error; what routes them is kept beside them. Vectors are arrays of
+    numbers or strings like "[0.5, 1]"; ids are integers or strings, other numbers become integers and the rest strings.
+    """
     metric = metric_name(metric)
     store = ManifestStore(df.sparkSession, root)
-    run_id = run_id or f"{datetime.now(UTC):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
-    vector = F.col(vector_column).cast("array<float>")
+    run_id = run_id or new_run_id()
+    df = df.withColumn(id_column, vector_id(df, id_column)).withColumn(vector_column, as_vector(df, vector_column))
+    vector = F.col(vector_column)
     routing: np.ndarray | None = None
     if isinstance(sharding, ClusterSharding):
         routing = sharding.centroids
@@ -72,23 +91,45 @@ def build_vector_snapshot(df: DataFrame, root: str, id_column: str, vector_colum
         kind, n = "expression", 0
     rows = with_shard_id(df, sharding, id_column) if kind == "expression" else df.withColumn(SHARD, shard)
     n = n or sharding.num_shards or resolve_num_shards(rows)
-    check_assigned(rows, n)
+    rows = rows.withColumn(SHARD, F.when(vector.isNotNull(), F.col(SHARD)))
+    valid = F.col(SHARD).isNotNull() & (F.col(SHARD) >= 0) & (F.col(SHARD) < n)
+    wrong = F.raise_error(F.concat(F.lit(BAD_SHARD), F.coalesce(F.col(SHARD).cast("string"), F.lit("None")), F.lit(f" of {n}"))).cast("int")
+    rows = rows.withColumn(SHARD, F.when(valid, F.col(SHARD)).otherwise(wrong))
     made = F.to_json(F.struct(*[F.col(c) for c in sorted(payload)]), {"ignoreNullFields": "false"}) if payload else F.lit(None).cast("string")
-    rows.select(SHARD, F.col(id_column).alias("vec_id"), vector.alias("embedding"), made.alias("payload")).repartitionById(n, SHARD).sortWithinPartitions(SHARD, "vec_id").write.partitionBy(SHARD).parquet(store.folder(run_id, "data"))
-    written = store.data(run_id)
-    written.groupBy(SHARD).agg(F.count("*").alias("row_count"), F.min("vec_id").alias("min_key"), F.max("vec_id").alias("max_key")).coalesce(1).write.parquet(store.folder(run_id, "shards"))
-    if repeated := written.groupBy("vec_id").count().where("count > 1").limit(1).collect():
+    table = rows.select(SHARD, F.col(id_column).alias("vec_id"), vector.alias("embedding"), made.alias("payload"))
+    try:
+        table.repartitionById(n, SHARD).sortWithinPartitions(SHARD, "vec_id").write.partitionBy(SHARD).parquet(store.folder(run_id, "data"))
+    except Exception as error:
+        store.files.delete(f"runs/run_id={run_id}")
+        if found := re.search(re.escape(BAD_SHARD) + r"\S+ of \d+", str(error)):
+            raise ShardAssignmentError(found[0]) from error
+        raise
+    schemas = {"data": table.schema}
+    written = df.sparkSession.read.schema(table.schema).parquet(store.folder(run_id, "data"))
+    stats = written.groupBy(SHARD).agg(F.count("*").alias("row_count"), F.min("vec_id").alias("min_key"), F.max("vec_id").alias("max_key"))
+    stats.coalesce(1).write.parquet(store.folder(run_id, "shards"))  # a row for each shard
+    schemas["shards"] = stats.schema
+    if repeated := written.groupBy("vec_id").count().where("count > 1").limit(1).collect():  # across shards: an id's vectors may lie in several
         store.files.delete(f"runs/run_id={run_id}")
         raise ConfigError(f"the vector id {repeated[0]['vec_id']} repeats")
-    total = store.shards(run_id).agg(F.coalesce(F.sum("row_count"), F.lit(0))).first()[0]
+    total = df.sparkSession.read.schema(stats.schema).parquet(store.folder(run_id, "shards")).agg(F.coalesce(F.sum("row_count"), F.lit(0))).first()[0]
     if routing is not None:
+        for r in written.select(SHARD, "embedding").limit(20).collect():
+            if _probe(kind, np.asarray(r["embedding"], np.float32), routing, n, 1, metric) != [r[SHARD]]:
+                raise ShardAssignmentError("vectors are not assigned as a reader would route them")
         store.files.write(f"runs/run_id={run_id}/routing", json.dumps(routing.tolist()))
     custom = {"vector": {"id": id_column, "column": vector_column, "metric": metric, "sharding": kind}}
-    manifest = Manifest(run_id, datetime.now(UTC).isoformat(), n, id_column, dict(df.dtypes)[id_column], "raw", {"strategy": kind}, int(total), custom=custom)
+    manifest = Manifest(run_id, datetime.now(UTC).isoformat(), n, id_column, dict(df.dtypes)[id_column], "raw", {"strategy": kind}, int(total), custom=custom, schemas={part: made.json() for part, made in schemas.items()})
     store.publish(manifest)
     return manifest
 
 
+def _probe(kind: str, q: np.ndarray, routing: np.ndarray, num_shards: int, num_probes: int, metric: str) -> list[int]:
+    """The shards where a reader looks for a vector, the nearest first."""
+    found = vectors.probe_clusters(q, routing, num_probes, metric) if kind == "cluster" else vectors.probe_lsh(q, routing, num_shards, num_probes)
+    return [int(x) for x in found]
+
+
 class VectorSnapshot:
     """A reader of the current vector snapshot, until refresh()."""
 
@@ -111,9 +152,7 @@ class VectorSnapshot:
                 raise ConfigError(f"no such shards: {bad}")
             return list(shards)
         q, kind = np.asarray(query, np.float32), self.manifest.custom["vector"]["sharding"]
-        if kind == "cluster":
-            return vectors.probe_clusters(q, self.routing, num_probes, self.metric)
-        return vectors.probe_lsh(q, self.routing, self.manifest.num_shards, num_probes) if kind == "lsh" else list(range(self.manifest.num_shards))
+        return _probe(kind, q, self.routing, self.manifest.num_shards, num_probes, self.metric) if self.routing is not None else list(range(self.manifest.num_shards))
 
     def search(self, queries: Sequence[Sequence[float]], k: int = 10, num_probes: int = 1, shards: Sequence[int] | None = None) -> DataFrame:
         """(query_id, rank, vec_id, score, payload) for a batch of queries, numbered from 0. Only probed shards' folders are read."""

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
@@ -22,6 +23,8 @@ from pyspark.sql.types import StructType
 from snapforge.errors import ManifestError, PublishError, StateError
 
 FORMAT = 4
+#: Manifests that are read at the same time.
+READERS = 16
 HISTORY_SCHEMA = "run_id string, published_at timestamp, path string, num_shards int, key_encoding string"
 
 
@@ -95,10 +98,40 @@ class Files:
     def delete(self, name: str) -> bool:
         return self.fs.delete(self.path(name), True)
 
+    def try_delete(self, name: str) -> bool:
+        """delete, without an error."""
+        try:
+            return self.delete(name)
+        except Exception:  # noqa: BLE001
+            return False
+
+
+class MemoryFiles:
+    """The same in memory, for tests and stores that end with the driver."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, str] = {}
+
+    def read(self, name: str) -> str | None:
+        return self.held.get(name)
+
+    def write(self, name: str, text: str) -> None:
+        self.held[name] = text
+
+    def names(self, folder: str) -> list[str]:
+        start = f"{folder}/" if folder else ""
+        return sorted({x[len(start) :].split("/")[0] for x in self.held if x.startswith(start)})
+
+    def delete(self, name: str) -> bool:
+        gone = [x for x in self.held if x == name or x.startswith(f"{name}/")]
+        for x in gone:
+            del self.held[x]
+        return bool(gone)
+
 
 class ManifestStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
+    def __init__(self, spark: SparkSession, root: str, files: Files | MemoryFiles | None = None):
+        self.spark, self.root, self.files = spark, root.rstrip("/"), files or Files(spark, root)
 
     def folder(self, run_id: str, part: str = "") -> str:
         return f"{self.root}/runs/run_id={run_id}" + (f"/{part}" if part else "")
@@ -141,13 +174,16 @@ class ManifestStore:
         return [x.removeprefix("run_id=") for x in self.files.names("runs") if x.startswith("run_id=")]
 
     def manifests(self) -> list[Manifest]:
-        """Readable manifests, newest first."""
-        found = []
-        for run_id in self.run_ids():
+        """Readable manifests, newest first. They are small and read at once, by as many threads as READERS."""
+
+        def readable(run_id: str) -> Manifest | None:
             try:
-                found.append(self.load(run_id))
+                return self.load(run_id)
             except ManifestError:
-                continue
+                return None
+
+        with ThreadPoolExecutor(READERS) as pool:
+            found = list(pool.map(readable, self.run_ids()))
         return sorted((m for m in found if m), key=lambda m: (m.created_at, m.run_id), reverse=True)
 
     def history(self) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from datetime import UTC, datetime
 
 import numpy as np
@@ -17,6 +19,7 @@ from snapforge.operators import lookup
 from snapforge.operators.sharding import SHARD, HashSharding, token_shard, with_shard_id
 from snapforge.operators.vectors import exact_search
 from snapforge.sources.manifest import Manifest, ManifestStore
+from snapforge.streaming.limits import TokenBucket
 
 
 #: Keys of a list that are looked up by their shards; longer lists are joined.
@@ -26,13 +29,26 @@ LISTED = 10_000
 class Snapshot:
     """A reader pinned to one manifest until refresh(). Spark plans read a fixed list of files, so what is under way is not disturbed."""
 
-    def __init__(self, spark: SparkSession, root: str, run_id: str | None = None):
+    def __init__(self, spark: SparkSession, root: str, run_id: str | None = None, emit: Callable[[str, dict], None] | None = None, admit: TokenBucket | None = None):
+        """emit is called with the reader's events, see snapforge.metrics; admit is asked for each key or query before it is served."""
         self.spark, self.store, self.opened = spark, ManifestStore(spark, root), datetime.now(UTC)
-        self.closed = False
+        self.emit, self.admit, self.closed = emit or (lambda event, fields: None), admit, False
         made = self.store.load(run_id) if run_id else self.store.load_latest()
         if made is None:
             raise StateError(f"no such run: {run_id}")
         self._use(made)
+        self.emit("reader_opened", {"run_id": made.run_id})
+
+    @contextmanager
+    def _served(self, event: str, **fields: int) -> Iterator[None]:
+        """Wait to be admitted, then tell what was asked and how long it took: of a table that is returned, its planning."""
+        if self.admit is not None:
+            self.admit.acquire(max(fields.values()))
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.emit(event, fields | {"seconds": time.perf_counter() - began})
 
     def _use(self, manifest: Manifest) -> None:
         self.manifest, self.kv, self.shard_table = manifest, self.store.data(manifest.run_id), self.store.shards(manifest.run_id)
@@ -77,18 +93,24 @@ class Snapshot:
 
     def get(self, key: int | str | bytes, context: dict | None = None) -> bytes | None:
         """The value of a key, or None. Reads one folder, and in it the row groups that may hold the key."""
-        shard = self.route_key(key, context)
-        if shard is None or not 0 <= shard < self.manifest.num_shards:
-            return None
-        rows = lookup.point(self.kv, shard, lookup_key(key, self.manifest.key_encoding)).select("v").take(1)
-        return bytes(rows[0]["v"]) if rows and rows[0]["v"] is not None else None
+        with self._served("lookup", keys=1):
+            shard = self.route_key(key, context)
+            if shard is None or not 0 <= shard < self.manifest.num_shards:
+                return None
+            rows = lookup.point(self.kv, shard, lookup_key(key, self.manifest.key_encoding)).select("v").take(1)
+            return bytes(rows[0]["v"]) if rows and rows[0]["v"] is not None else None
 
     def multi_get(self, keys: Sequence | DataFrame, context: dict | None = None) -> DataFrame:
         """(pos, key, v, found) in any order: for a list of keys, or a table (pos, key and routing columns) of any size.
 
-        Up to LISTED keys read only their own shards, and in them the row groups that may hold them.
+        Up to LISTED keys read only their own shards, and in them the row groups that may hold them. A table counts as one
+        request, as its keys aren't counted.
         """
         self._open()
+        with self._served("lookup", keys=1 if isinstance(keys, DataFrame) else len(keys)):
+            return self._multi_get(keys, context)
+
+    def _multi_get(self, keys: Sequence | DataFrame, context: dict | None) -> DataFrame:
         kv = self.kv.select(SHARD, "k", "v")
         if isinstance(keys, DataFrame) or len(keys) > LISTED:
             asked = self.route(keys if isinstance(keys, DataFrame) else self._frame(keys, context))
@@ -125,7 +147,8 @@ class Snapshot:
             raise ConfigError("the snapshot has no vectors")
         frame = queries if isinstance(queries, DataFrame) else self.spark.createDataFrame([(0, [float(x) for x in np.asarray(queries)])], "query_id int, embedding array<float>")
         rows = self.kv if shards is None else self.kv.where(F.col(SHARD).isin(list(shards)))
-        return exact_search(rows, frame, k, metric, carry=("payload", "v"))
+        with self._served("search", queries=1):
+            return exact_search(rows, frame, k, metric, carry=("payload", "v"))
 
     def info(self) -> dict:
         self._open()
@@ -158,10 +181,13 @@ class Snapshot:
         if made is None:
             return False
         self._use(made)
+        self.emit("reader_refreshed", {"run_id": made.run_id})
         return True
 
     def close(self) -> None:
-        self.closed = True
+        if not self.closed:
+            self.closed = True
+            self.emit("reader_closed", {"run_id": self.manifest.run_id})
 
     def __enter__(self) -> Snapshot:
         return self

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from snapforge.sources.manifest import Files
 
-SCHEMA = "run_id string, status string, started_at string, ended_at string, error string"
+SCHEMA = "run_id string, status string, started_at string, ended_at string, error string, heartbeat_at string, lease_until string"
 
 
 class RunRegistry:
@@ -30,15 +32,36 @@ class RunRegistry:
         return None if text is None else json.loads(text)
 
     @contextmanager
-    def running(self, run_id: str) -> Iterator[None]:
-        """running on entry, then succeeded, or failed with the error."""
-        self.put(run_id, status="running", started_at=datetime.now(UTC).isoformat())
+    def running(self, run_id: str, heartbeat: float = 60.0) -> Iterator[None]:
+        """running on entry, then succeeded, or failed with the error. While it runs, each heartbeat renews a lease of three."""
+        ended = threading.Event()
+
+        def renew() -> None:
+            while not ended.wait(heartbeat):
+                self.put(run_id, **self._lease(heartbeat))
+
+        self.put(run_id, status="running", started_at=datetime.now(UTC).isoformat(), **self._lease(heartbeat))
+        beats = threading.Thread(target=renew, daemon=True)
+        beats.start()
+        outcome: dict[str, str | None] = {"status": "succeeded"}
         try:
             yield
         except BaseException as error:
-            self.put(run_id, status="failed", ended_at=datetime.now(UTC).isoformat(), error=str(error)[:1000])
+            outcome = {"status": "failed", "error": str(error)[:1000]}
             raise
-        self.put(run_id, status="succeeded", ended_at=datetime.now(UTC).isoformat())
+        finally:
+            ended.set()
+            beats.join()
+            self.put(run_id, ended_at=datetime.now(UTC).isoformat(), **outcome)
+
+    @staticmethod
+    def _lease(heartbeat: float) -> dict[str, str]:
+        now = datetime.now(UTC)
+        return {"heartbeat_at": now.isoformat(), "lease_until": (now + timedelta(seconds=3 * heartbeat)).isoformat()}
+
+    def lost(self, at: datetime | None = None) -> DataFrame:
+        """Records of runs that say they run, but whose lease is over."""
+        return self.records().where((F.col("status") == "running") & (F.to_timestamp("lease_until") < F.lit(at or datetime.now(UTC))))
 
     def records(self) -> DataFrame:
         names = [x for x in self.files.names("records") if x.endswith(".json")]
