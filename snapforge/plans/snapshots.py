@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from snapforge.errors import SnapshotError
+from snapforge.errors import ConfigError, SnapshotError
 from snapforge.functions.keys import callable_value, json_value
+from snapforge.metrics import Recorder
 from snapforge.operators import lifecycle
 from snapforge.operators.sharding import SHARD, ExpressionSharding, HashSharding
 from snapforge.operators.snapshot import build_snapshot
-from snapforge.operators.vector_snapshot import ColumnSharding, VectorSnapshot, build_vector_snapshot
+from snapforge.operators.vector_snapshot import ColumnSharding, PlaneSharding, VectorSnapshot, build_vector_snapshot
 from snapforge.plans.catalog import EVERY, K, VECTORS, _distance_sql, _ranked_sql, _shared, query, table
 from snapforge.plans.sql import hashed
-from snapforge.sources.manifest import ManifestStore
+from snapforge.sources.attempts import attempts_in, clean_attempts
+from snapforge.sources.manifest import Files, Manifest, ManifestStore, MemoryFiles
 from snapforge.sources.reader import Snapshot
 from snapforge.sources.records import Columns, from_records
+from snapforge.sources.runs import RunRegistry
 
 
 def _root(spark: SparkSession) -> str:
@@ -179,6 +182,88 @@ def builds_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "what string, refused boolean")
 
 
+@query("SELECT * FROM (VALUES ('good', 'succeeded', true), ('bad', 'failed', true)) t(run_id, status, has_lease)")
+def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of a build that ends well and of one that is refused."""
+    root = _root(spark)
+    df, registry = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("k"), "r_name"), RunRegistry(spark, root)
+    build_snapshot(df, f"{root}/s", "k", _text("r_name"), HashSharding(2), run_id="good", registry=registry)
+    try:
+        build_snapshot(df.withColumn("k", F.lit(1).cast("long")), f"{root}/s", "k", _text("r_name"), HashSharding(2), run_id="bad", registry=registry)
+    except ConfigError:
+        pass
+    return registry.records().select("run_id", "status", F.col("lease_until").isNotNull().alias("has_lease"))
+
+
+@query("SELECT r_regionkey::INT AS db_id, 'db=' || lpad(r_regionkey::VARCHAR, 5, '0') || '/attempt=' || CASE WHEN r_regionkey % 2 = 0 THEN '00' ELSE '01' END AS kept FROM region")
+def attempts_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tries at each shard; of odd shards the second won. The tries that lost are deleted."""
+    root = _root(spark)
+    shards = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("db_id"))
+    tries = [f"db={r['db_id']:05d}/attempt={n:02d}" for r in shards.toLocalIterator() for n in (0, 1)]
+    for name in tries:
+        Files(spark, root).write(f"{name}/rows", name)
+    found = attempts_in(spark, root)
+    winners = lifecycle.select_winners(found.where("attempt = db_id % 2").withColumn("task_attempt_id", F.lit(None).cast("long")))
+    assert len(clean_attempts(spark, root, winners)) == len(tries) // 2 == len(clean_attempts(spark, root, winners, dry_run=False))
+    return attempts_in(spark, root).select("db_id", F.regexp_extract("db_url", "(db=.*)", 1).alias("kept"))
+
+
+@query("SELECT count(*) AS n, true AS in_order, 4 AS files FROM orders")
+def single_sorted_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One shard, its files sorted and split by ranges of keys: no file's keys reach into another's."""
+    root = _root(spark)
+    build_snapshot(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), root, "o_orderkey", _text("o_orderstatus"), HashSharding(1), files_per_shard=4)
+    rows = Snapshot(spark, root).kv.select("k", F.input_file_name().alias("file"))
+    spans = rows.groupBy("file").agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"))  # a row for each file
+    before = F.lag("high").over(Window.orderBy("low"))
+    return spans.select("n", (F.coalesce(before < F.col("low"), F.lit(True))).alias("ok")).agg(F.sum("n").alias("n"), F.bool_and("ok").alias("in_order"), F.count("*").cast("int").alias("files"))
+
+
+@query("SELECT * FROM (VALUES ('reader_opened', 1), ('lookup', 2), ('reader_refreshed', 1), ('reader_closed', 1), ('write_started', 2), ('shards_written', 2), ('published', 2)) t(event, n)")
+def events_emitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two builds and a reader tell their collector."""
+    root, seen = _root(spark), Recorder()
+    df = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("k"), "r_name")
+    build_snapshot(df, root, "k", _text("r_name"), HashSharding(2), emit=seen)
+    with Snapshot(spark, root, emit=seen) as s:
+        build_snapshot(df, root, "k", _text("r_name"), HashSharding(3), emit=seen)
+        assert s.get(0) is not None and s.refresh() and len(s.get_many([0, 1, 9])) == 3
+    return spark.createDataFrame(list(seen.counts.items()), "event string, n int")
+
+
+@query("SELECT * FROM (VALUES ('b', 0), ('a', 1)) t(run_id, place)")
+def memory_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests kept in memory: published, listed, rolled back, deleted."""
+    store = ManifestStore(spark, "memory", MemoryFiles())
+    for i, name in enumerate(("gone", "a", "b")):
+        store.publish(Manifest(name, f"2024-01-0{i + 1}T00:00:00+00:00", 1, "k", "bigint", "u64be", {"strategy": "hash"}))
+    assert store.rollback(offset=1) == "a" == store.load_latest().run_id and store.clean(keep_last=2, dry_run=False) == ["gone"]
+    return lifecycle.ranked(store.history()).select("run_id", F.col("place").cast("int").alias("place"))
+
+
+@query(f"WITH {VECTORS} SELECT vec_id, len(e) AS n, (vec_id % 3)::INT AS shard FROM v")
+def vectors_coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors given as strings, and ids as floating numbers, in a snapshot by a column."""
+    root = _root(spark)
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("double").alias("vec_id"), F.to_json("embedding").alias("embedding"), (F.col("vec_id") % 3).cast("int").alias("s"))
+    build_vector_snapshot(own, root, "vec_id", "embedding", ColumnSharding(3, "s"))
+    return VectorSnapshot(spark, root).rows.select("vec_id", F.size("embedding").cast("long").alias("n"), "shard")
+
+
+@query(f"WITH {VECTORS} SELECT vec_id AS query_id, vec_id, 1 AS rank FROM v WHERE vec_id % {EVERY} = 0")
+def vectors_by_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards by the signs of projections on random planes: each vector is found in the one shard it is sent to."""
+    root = _root(spark)
+    own = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    build_vector_snapshot(own, root, "vec_id", "embedding", PlaneSharding(8, bits=5))
+    reader = VectorSnapshot(spark, root)
+    asked = {i: r for i, r in enumerate(own.where(F.col("vec_id") % EVERY == 0).toLocalIterator())}
+    hits = reader.search([r["embedding"] for r in asked.values()], k=1, num_probes=1)
+    ids = spark.createDataFrame([(i, r["vec_id"]) for i, r in asked.items()], "query_id int, id bigint")
+    return hits.join(ids, "query_id").select(F.col("id").alias("query_id"), "vec_id", "rank")
+
+
 ASKED_SQL = f"q AS (SELECT vec_id AS query_id, e AS q FROM v WHERE vec_id % {EVERY} = 0)"
 
 

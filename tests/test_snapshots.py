@@ -201,3 +201,61 @@ def test_an_empty_snapshot_opens(spark, tmp_path):
     s = Snapshot(spark, str(tmp_path))
     assert s.get(1) is None and s.get_many([1, 2]) == {1: None, 2: None} and s.scan().count() == 0 and s.info()["row_count"] == 0
     assert [r["row_count"] for r in s.shards().collect()] == [0, 0, 0]
+
+
+def test_repeats_cost_no_shuffle(spark, tmp_path):
+    from snapforge.operators.snapshot import refuse_repeats
+
+    rows = sharding.with_shard_id(frame(spark), HashSharding(4), "id").select(SHARD, F.col("id").alias("k"), F.col("payload").alias("v"))
+    for dealt in (rows.repartitionById(4, SHARD), rows.repartitionByRange(8, SHARD, "k")):
+        plan = refuse_repeats(dealt, "k", "v", F.col("k").cast("string")).sortWithinPartitions(SHARD, "k")._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Initial Plan")[0].count("Exchange ") == 1 and plan.count("Sort [") == 1
+    for n in (1, 3):  # copies of one key over many files
+        with pytest.raises(ConfigError, match="repeats"):
+            build_snapshot(frame(spark).withColumn("id", F.when(F.col("id") < 30, 7).otherwise(F.col("id"))), str(tmp_path), "id", F.lit(None).cast("binary"), HashSharding(2), files_per_shard=n)
+    assert ManifestStore(spark, str(tmp_path)).current() is None and ManifestStore(spark, str(tmp_path)).run_ids() == []
+
+
+def test_leases(spark, tmp_path):
+    import time
+
+    registry = RunRegistry(spark, str(tmp_path))
+    with registry.running("a", heartbeat=0.05):
+        first = registry.load("a")["heartbeat_at"]
+        time.sleep(0.5)
+        assert registry.load("a")["heartbeat_at"] > first
+    registry.put("b", status="running", lease_until="2020-01-01T00:00:00+00:00")
+    assert [r["run_id"] for r in registry.lost().collect()] == ["b"] and registry.load("a")["status"] == "succeeded"
+
+
+def test_readers_are_admitted(spark, tmp_path):
+    from snapforge.streaming.limits import TokenBucket
+
+    build_snapshot(frame(spark), str(tmp_path), "id", F.encode("payload", "UTF-8"), HashSharding(2))
+    waits = []
+    now = [0.0]
+    bucket = TokenBucket(2, clock=lambda: now[0], sleep=lambda s: (waits.append(s), now.__setitem__(0, now[0] + s)))
+    s = Snapshot(spark, str(tmp_path), admit=bucket)
+    assert s.get(1) == b"payload-1" and len(s.get_many([1, 2, 3])) == 3 and sum(waits) == pytest.approx(1.0)
+
+
+def test_categories_and_keys_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MAX_CATEGORIES", 1)
+    with pytest.raises(ConfigError, match="categories"):
+        sharding.infer_routing_values(frame(spark), ExpressionSharding("grp", {"grp": "string"}, infer=True))
+    for key in (1 << 63, -(1 << 63) - 1):
+        with pytest.raises(ConfigError, match="64-bit"):
+            shard_of(key, 4)
+
+
+def test_attempts(spark, tmp_path):
+    from snapforge.sources.attempts import attempts_in, clean_attempts
+
+    for name in ("db=00000/attempt=00", "db=00000/attempt=01", "db=00001/attempt=00", "db=x/attempt=00", "other"):
+        (tmp_path / name).mkdir(parents=True)
+    found = attempts_in(spark, str(tmp_path))
+    assert sorted((r["db_id"], r["attempt"]) for r in found.collect()) == [(0, 0), (0, 1), (1, 0)]
+    winners = found.where("attempt = 1 OR db_id = 1")
+    assert clean_attempts(spark, str(tmp_path), winners) == [f"{tmp_path}/db=00000/attempt=00"] and (tmp_path / "db=00000/attempt=00").exists()
+    assert clean_attempts(spark, str(tmp_path), winners, dry_run=False) and not (tmp_path / "db=00000/attempt=00").exists()
+    assert clean_attempts(spark, str(tmp_path), winners, dry_run=False) == [] and attempts_in(spark, str(tmp_path / "none")).count() == 0
