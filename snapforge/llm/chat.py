@@ -8,6 +8,8 @@ that no text can open or close a turn and every text can be had back.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,10 @@ TURN, TEXT, NEXT, END = "<|turn|>", "<|text|>", "<|next|>", "<|end|>"
 #: First character and rest of the control strings that texts may not hold as they are.
 CONTROL = r"(\||/?s>|/?INST\])"
 
+#: Characters in a piece of a formatted text, and runs whose lengths are summed at once, see under_loss().
+PIECE = 1024
+RUNS = 256
+
 
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, r"([<\[])(\\*)" + CONTROL, r"$1\\$2$3")
@@ -63,15 +69,36 @@ def parsed(text: Column) -> Column:
     return F.flatten(F.transform(F.filter(_split(text, TURN), lambda b: b != ""), block))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body's own lambdas read it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _starts(lengths: Column) -> Column:
+    """Where each run begins, from 0. Sums of blocks come first: an array that grows by appending is copied each time, so it is kept short."""
+    rise = lambda x, start: F.aggregate(x, F.array(start), lambda held, n: F.array_append(held, F.element_at(held, -1) + n))
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(lengths) / RUNS).cast("int")), lambda i: F.slice(lengths, i * RUNS + 1, RUNS))
+    sums = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda held, n: held + n))
+    before = rise(sums, F.lit(0).cast("long"))
+    return _once(before, lambda before: F.flatten(F.transform(blocks, lambda x, i: F.slice(rise(x, F.get(before, i)), F.lit(1), F.size(x)))))
+
+
 def under_loss(formatted_text: Column, segments: Column) -> Column:
-    """The texts under the loss mask, in order: formatted_text cut by the mask's run lengths, escapes undone."""
-    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<string>").alias("said"))
+    """The texts under the loss mask, in order: formatted_text cut by the mask's run lengths, escapes undone.
+
+    A place in a string is found by counting from its start, so the text is first laid in pieces of PIECE
+    characters, and a run is cut from its own pieces: the work grows with the text, not with its turns times it.
+    """
+    pieces = F.regexp_extract_all(formatted_text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    starts = _once(F.transform(segments, lambda run: run["n_chars"]), _starts)
+    runs = _once(starts, lambda starts: F.filter(F.transform(segments, lambda run, i: F.struct(run["loss"].alias("loss"), run["n_chars"].alias("n"), F.get(starts, i).alias("at"))), lambda run: run["loss"]))
 
-    def step(held: Column, run: Column) -> Column:
-        own = F.substring(formatted_text, held["at"].cast("int"), run["n_chars"].cast("int"))
-        return F.struct((held["at"] + run["n_chars"]).alias("at"), F.when(run["loss"], F.array_append(held["said"], own)).otherwise(held["said"]).alias("said"))
+    def cut(pieces: Column, run: Column) -> Column:
+        first, end = F.floor(run["at"] / PIECE).cast("int"), F.ceil((run["at"] + run["n"]) / PIECE).cast("int")
+        own = F.array_join(F.slice(pieces, first + 1, F.greatest(F.lit(0), end - first)), "")
+        return unescape(F.substring(own, F.pmod(run["at"], F.lit(PIECE)).cast("int") + 1, run["n"].cast("int")))
 
-    return F.transform(F.aggregate(segments, start, step, lambda held: held["said"]), unescape)
+    return _once(pieces, lambda pieces: F.transform(runs, lambda run: cut(pieces, run)))
 
 
 def digests(conversations: DataFrame) -> DataFrame:

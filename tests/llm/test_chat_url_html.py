@@ -57,6 +57,25 @@ def test_chat_odd_tables(spark):
     assert got[1]["loss_sha256"] == hashlib.sha256((long + "x").encode()).hexdigest()
 
 
+@pytest.mark.parametrize("piece", [1, 3, 1024])
+def test_runs_are_cut_across_pieces(spark, monkeypatch, piece):
+    monkeypatch.setattr(chat, "PIECE", piece)
+    monkeypatch.setattr(chat, "RUNS", piece)
+    said = ["é😀" * 5, "", "x", "<|end|>", "y\n" * 2000]
+    df = spark.createDataFrame([(1, i, "assistant", x) for i, x in enumerate(said)] + [(2, 1, "user", "z")], "conv_id long, turn long, role string, text string")
+    got = {r[0]: r[1] for r in chat.formatted(df).select("conv_id", chat.under_loss(F.col("formatted"), F.col("segments"))).collect()}
+    assert got == {1: said, 2: []}
+
+
+def test_a_conversation_of_many_turns(spark):
+    """The time of reading the mask back grows with the text: 10,000 turns, six million characters."""
+    df = spark.range(10_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("wörd "), 120).alias("text"))
+    began = time.monotonic()
+    got = chat.digests(chat.formatted(df)).first()
+    assert (got["n_turns"], got["loss_chars"]) == (10_000, 3_000_000) and time.monotonic() - began < 60
+    assert got["loss_sha256"] == hashlib.sha256(("wörd " * 120 * 5000).encode()).hexdigest()
+
+
 def test_chat_plan_is_native(spark):
     df = spark.createDataFrame([(1, 1, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = chat.digests(chat.formatted(df))._jdf.queryExecution().toString()
