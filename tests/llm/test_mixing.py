@@ -66,6 +66,7 @@ def test_native_plan(spark):
 
 def test_sizes_match_the_pattern(spark):
     import re
+import time
 
     texts = ["", " ", "a", "\x1ca b\x85c", "x\ty\r\nz", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(mixing.n_words(F.col("text"))).collect()]
@@ -82,3 +83,11 @@ def test_tied_rows_share(spark):
     same = spark.createDataFrame([(7, "a b c d", "s")] * 4 + [(8, "x", "t")], "doc_id long, text string, source string")
     rows = [r for r in mixing.mix(same, weights=(1.0,), share=0.5).collect() if r["doc_id"] == 7]
     assert len({r["taken"] for r in rows}) == 1 and 0 < sum(r["taken"] for r in rows) <= rows[0]["target"]
+
+
+def test_a_million_sources(spark):
+    """Time that grows with the sources, and targets that use the whole budget."""
+    sizes = spark.range(1_000_000).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("source"), (F.col("id") % 100).alias("source_size"))
+    began = time.monotonic()
+    got = mixing.water_fill(sizes, mixing.cyclic_weights(sizes, (3.0, 1.0, 2.0)), 1.5, 2.0).agg(F.sum("target"), F.sum("source_size"), F.max(F.col("target") - 2 * F.col("source_size"))).first()
+    assert time.monotonic() - began < 60 and abs(got[0] - 1.5 * got[1]) < 1 and got[2] <= 0
