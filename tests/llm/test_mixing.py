@@ -67,7 +67,6 @@ def test_native_plan(spark):
 
 def test_sizes_match_the_pattern(spark):
     import re
-import time
 
     texts = ["", " ", "a", "\x1ca b\x85c", "x\ty\r\nz", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(mixing.n_words(F.col("text"))).collect()]
