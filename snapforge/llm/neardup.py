@@ -139,12 +139,26 @@ def fingerprints(docs: DataFrame, size: int, groups: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, salt int, n_shingles bigint, node binary, " + ", ".join(f"{x} bigint" for x in names))
 
 
-def _first_table(groups: list[str], pair: Column) -> Column:
-    """Is the table of these two collections the first that two classes (g0, ... and _g0, ...) share: so a pair is met once, not in every table."""
-    same = sum((F.when(F.col(g) == F.col(f"_{g}"), F.lit(1 << i)).otherwise(0).cast("long") for i, g in enumerate(groups)), F.lit(0).cast("long"))
-    low = lambda x: x.bitwiseAND(-x)
-    rest = same.bitwiseAND(same - 1)
-    return low(same).bitwiseOR(low(rest)) == pair
+def _first_table(groups: list[str], second: Column) -> Column:
+    """Is a table that two classes (g0, ... and _g0, ...) share the first such one: so a pair is met once, not in every table. second: the later of the table's two collections.
+
+    It is if only one collection before that is the same. A join asks this of every pair, so it has to be short: methods of over 8,000 bytes are never compiled.
+    """
+    return sum((F.when((F.col(g) == F.col(f"_{g}")) & (second > i), 1).otherwise(0) for i, g in enumerate(groups)), F.lit(0)) == 1
+
+
+def _open_rows(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows of the buckets that hold classes of two components or more, with what `known` (_ln, l: the component) has of their classes, and in_main and n_rest.
+
+    in_main: the class is of the bucket's largest component. n_rest: how many of its classes aren't. Two
+    classes of the largest component need no comparison, so a side of n_rest classes is enough to meet all
+    pairs across components: a large group of copies costs its bucket nothing but the stragglers.
+    """
+    held = rows.join(known.select("_ln", "l"), F.col("node") == F.col("_ln")).groupBy("key", "l").agg(F.count("*").alias("n_own"), salts(F.col("salt")).alias("s"))
+    mixed = held.groupBy("key").agg(F.max(F.struct("n_own", "l")).alias("main"), F.sum("n_own").alias("n_all"), F.count("*").alias("n_labels"), F.bit_or("s").alias("s")).where("n_labels > 1")
+    mixed = mixed.select(F.col("key").alias("_k"), F.col("main.l").alias("_main"), (F.col("n_all") - F.col("main.n_own")).alias("n_rest"), each_salt(F.col("s")).alias("_s"))
+    met = rows.join(mixed, (F.col("key") == F.col("_k")) & (F.col("salt") == F.col("_s"))).join(known, F.col("node") == F.col("_ln"))
+    return met.withColumn("in_main", F.col("l") == F.col("_main")).drop("_k", "_s", "_ln", "_main")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -241,7 +255,7 @@ def _labelled(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Data
 
     labels, hubs, before, done, open_rows = among.select("node", "label"), 0, 1, None, None
     other, own_groups = [f"_{c}" for c in bits], [f"g{i}" for i in range(groups)]
-    pair = F.element_at(F.array(*[F.lit((1 << i) | (1 << j)).cast("long") for i, j in tables]), (F.col("key").bitwiseAND(F.lit((1 << TABLE_BITS) - 1).cast("long")) + 1).cast("int"))
+    second = F.element_at(F.array(*[F.lit(j) for _, j in tables]), (F.col("key").bitwiseAND(F.lit((1 << TABLE_BITS) - 1).cast("long")) + 1).cast("int"))
     while True:
         if not hubs:
             turn = F.pmod(F.col("key").bitwiseAND(F.lit((1 << TABLE_BITS) - 1).cast("long")), F.lit(TURNS))
@@ -257,23 +271,21 @@ def _labelled(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Data
                 break
             known = labels.join(among.select(F.col("node").alias("_an"), *bits, *own_groups), F.col("node") == F.col("_an")).select(F.col("node").alias("_ln"), F.xxhash64(F.col("label.node")).alias("l"), *bits, *own_groups)
             rows = members.where(F.col("n_classes") > before)
-            mixed = rows.join(known.select("_ln", "l"), F.col("node") == F.col("_ln")).groupBy("key").agg(F.min("l").alias("x"), F.max("l").alias("y"), salts(F.col("salt")).alias("s")).where("x <> y")
-            mixed = mixed.select(F.col("key").alias("_k"), each_salt(F.col("s")).alias("_s"))
-            rows = open_rows = checkpointed(rows.join(mixed, (F.col("key") == F.col("_k")) & (F.col("salt") == F.col("_s"))).join(known, F.col("node") == F.col("_ln")).drop("_k", "_s", "_ln"))
-            n_rows, n_pairs = rows.agg(F.count("*"), F.sum(F.col("n_classes").cast("double"))).first()
+            rows = open_rows = checkpointed(_open_rows(rows, known))
+            n_rows, n_pairs = rows.agg(F.count("*"), F.sum(F.when(F.col("in_main"), 0).otherwise(F.col("n_classes")).cast("double"))).first()
             if not n_rows:
                 break
             if n_pairs <= max(AT_ONCE, AT_ONCE_EACH * n_rows):
                 hubs = 1 << 40
             chance = (F.pmod(F.xxhash64("key", "node"), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))
-            rows = rows.withColumn("is_hub", (F.col("n_classes") <= hubs) | (chance <= F.lit(float(hubs)) / F.col("n_classes"))).withColumn("pair", pair)
+            rows = rows.withColumn("is_hub", ~F.col("in_main") & ((F.col("n_classes") <= hubs) | (chance <= F.lit(float(hubs)) / F.col("n_classes")))).withColumn("second", second)
             renamed = {c: f"_{c}" for c in (*bits, *own_groups)}
             n_blocks = F.ceil(F.col("n_classes") / BLOCK).cast("int")
-            n_hub_blocks = F.ceil(F.least(F.col("n_classes"), F.lit(hubs).cast("long")) / BLOCK).cast("int")
+            n_hub_blocks = F.ceil(F.least(F.col("n_rest"), F.lit(hubs).cast("long")) / BLOCK).cast("int")
             block = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
             all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
             hub = rows.where("is_hub").select(F.col("key").alias("_hk"), F.col("node").alias("_h"), F.col("n").alias("_n"), F.col("l").alias("_l"), block(n_hub_blocks).alias("_hb"), all_of(n_blocks).alias("_b"), *[F.col(c).alias(d) for c, d in renamed.items()])
-            once = (~F.col("is_hub") | (F.col("node") < F.col("_h"))) & _first_table(own_groups, F.col("pair"))
+            once = (~F.col("is_hub") | (F.col("node") < F.col("_h"))) & _first_table(own_groups, F.col("second"))
             sides = rows.withColumn("b", block(n_blocks)).withColumn("hb", all_of(n_hub_blocks))
             met = sides.join(hub, (F.col("key") == F.col("_hk")) & (F.col("b") == F.col("_b")) & (F.col("hb") == F.col("_hb")) & (F.col("l") != F.col("_l")) & may_link("n", bits, "_n", other, percent) & once)
             pairs = met.select(F.least("node", "_h").alias("a"), F.greatest("node", "_h").alias("b")).distinct().join(done, ["a", "b"], "left_anti")

@@ -109,3 +109,36 @@ def test_text_hash_is_sparks(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     own = {r["doc_id"]: r["text_hash"] for r in neardup.fingerprints(docs, 5, 4).collect()}
     assert own == {r["doc_id"]: r["h"] for r in docs.select("doc_id", neardup._text_hash().alias("h")).collect()}
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 85), (5, 80)])
+def test_pairs_are_compared_by_compiled_code(spark, monkeypatch, n, percent):
+    """The JVM only interprets methods of over 8,000 bytes; the join that compares pairs was one."""
+    sizes, kept = [], {x: spark.conf.get(x) for x in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    checkpointed, debug = neardup.checkpointed, getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+
+    def seen(df, **how):
+        if df.columns == ["a", "b"]:
+            sizes.append(max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(df._jdf.queryExecution().executedPlan())))))
+        return checkpointed(df, **how)
+
+    monkeypatch.setattr(neardup, "checkpointed", seen)
+    rows = corpus()
+    try:
+        for x in kept:
+            spark.conf.set(x, "false" if "adaptive" in x else "-1")
+        assert neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).count() == len(rows)
+    finally:
+        for x, v in kept.items():
+            spark.conf.set(x, v)
+    assert len(sizes) >= 4 and max(sizes) < 8000, sizes  # hubs and what they link, then open buckets
+
+
+def test_the_largest_component_of_a_bucket_is_one_side_only(spark):
+    """A bucket of 60 classes, 57 of them of one component, compares 3 with 60, not 60 with 60."""
+    rows = [(1, i % 64, bytes([i]), 60) for i in range(60)] + [(2, i, bytes([i]), 2) for i in range(2)] + [(3, i, bytes([i]), 2) for i in (0, 59)]
+    known = [(bytes([i]), 7 if i < 57 else i) for i in range(60)]
+    out = neardup._open_rows(spark.createDataFrame(rows, "key long, salt int, node binary, n_classes long").repartition(3), spark.createDataFrame(known, "_ln binary, l long")).collect()
+    assert sorted((r["key"], r["node"][0]) for r in out) == [(1, i) for i in range(60)] + [(3, 0), (3, 59)]  # 2 holds one component
+    assert {r["node"][0] for r in out if r["key"] == 1 and not r["in_main"]} == {57, 58, 59} and {r["n_rest"] for r in out if r["key"] == 1} == {3}
+    assert sum(not r["in_main"] for r in out if r["key"] == 3) == 1 and all(r["n_rest"] == 1 for r in out if r["key"] == 3)
