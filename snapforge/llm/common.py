@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Salts that the rows of one key are dealt over in joins; a set of salts is a long.
 SALTS = 64
+#: Texts that a worker holds as Python objects, with what it computes of them, at a time.
+PART = 500
 
 
 def salt(*columns: Column | str) -> Column:
@@ -104,12 +108,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[str]:
-    """A text column's Python strings, 500 of them in memory at a time; null is the empty text."""
-    for i in range(0, len(column), 500):
-        for x in column.slice(i, 500).to_pylist():
+    """A text column's Python strings, PART of them in memory at a time; null is the empty text."""
+    for part in parts(column):
+        for x in part.to_pylist():
             yield x or ""
 
 
+def parts(rows: pa.Array | pa.ChunkedArray | pa.RecordBatch) -> Iterator:
+    """PART rows at a time, without a copy."""
+    for i in range(0, len(rows), PART):
+        yield rows.slice(i, PART)
+
+
+def give_back() -> None:
+    """Return to the system what this process has freed. Workers outlive their tasks, and what one stage freed would count beside the next one's memory."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)):  # glibc has it
+        trim(0)
+
+
 def starts(lengths: np.ndarray) -> np.ndarray:
     """Where each run begins when runs of these lengths lie one after the other."""
     out = np.zeros(len(lengths), np.int64)

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapforge.llm.common import SALTS, checkpointed, dealt_join, each_salt, plain, release, salt, salts, starts
+from snapforge.llm.common import SALTS, checkpointed, dealt_join, each_salt, give_back, parts, plain, release, salt, salts, starts
 
 GROUP = 2
 MISS = 1e-4
@@ -124,7 +124,7 @@ def fingerprints(docs: DataFrame, size: int, groups: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+            for part in parts(batch):
                 text = [x or "" for x in plain(part, "text").to_pylist()]
                 sets = [shingles(x, size) for x in text]
                 some = np.fromiter((len(s) > 0 for s in sets), bool, len(sets))
@@ -135,6 +135,7 @@ def fingerprints(docs: DataFrame, size: int, groups: int) -> DataFrame:
                 node = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 text_hash = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in text]  # as Spark's xxhash64
                 yield pa.RecordBatch.from_arrays([plain(part, "doc_id"), pa.array(np.array(text_hash, np.uint64).view(np.int64)), pa.array(np.arange(len(sets), dtype=np.int32) % SALTS), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), *(pa.array(np.ascontiguousarray(x)) for x in keys.T)], names=["doc_id", "text_hash", "salt", "n_shingles", "node", *names])
+            give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, salt int, n_shingles bigint, node binary, " + ", ".join(f"{x} bigint" for x in names))
 
@@ -182,13 +183,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             return met[node]
 
         for whole in batches:
-            for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+            for batch in parts(whole):
                 yes = []
                 for a, a_text, b, b_text in zip(*(plain(batch, c).to_pylist() for c in ("a", "a_text", "b", "b_text")), strict=True):
                     x, y = of(a, a_text), of(b, b_text)
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     yes.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+        met.clear()
+        give_back()
 
     met = dealt_join(dealt_join(pairs, side("b"), ["b"], ["a"]), side("a"), ["a"], ["b"])  # a hub has many pairs
     return met.mapInArrow(run, "a binary, b binary")
@@ -247,7 +250,9 @@ def _labelled(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Data
     @F.arrow_udf("binary")
     def packed(text: pa.Array) -> pa.Array:
         pack = zstandard.ZstdCompressor(level=1).compress
-        return pa.array([pack((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in text], pa.binary())  # one text at a time
+        out = [pa.array([pack((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in part], pa.binary()) for part in parts(text)]  # one text at a time
+        give_back()
+        return pa.concat_arrays(out or [pa.array([], pa.binary())])
 
     source = docs.select(F.col("doc_id").alias("_id"), _text_hash().alias("_hash"), packed(F.col("text")).alias("packed"))
     texts = among.join(source, F.col("rep.doc_id").eqNullSafe(F.col("_id")) & (F.col("rep.text_hash") == F.col("_hash"))).groupBy("node").agg(F.first("packed").alias("packed"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapforge.llm.common import checkpointed, plain
+from snapforge.llm.common import checkpointed, give_back, parts, plain
 from snapforge.llm.tokens import VOCABULARY, encoder
 
 LIMIT = 2048
@@ -38,14 +38,11 @@ def cut(n: int, limit: int = LIMIT) -> list[tuple[int, int]]:
     return [(0, first), *((s, limit) for s in range(first, n, limit))] if n else []
 
 
-def pieces(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULARY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids. A null text is empty: one piece, the end id alone."""
-    kind = docs.schema["doc_id"].dataType
-    fields = "piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).ids
-        for batch in batches:
+def encoded(batches: Iterator[pa.RecordBatch], limit: int = LIMIT, vocabulary: str = VOCABULARY, end_id: int = 0, with_ids: bool = False) -> Iterator[pa.RecordBatch]:
+    """The rows of pieces() for batches of doc_id and text, the ids of a part of a batch in memory at a time."""
+    encode = encoder(vocabulary).ids
+    for whole in batches:
+        for batch in parts(whole):
             of, rows, ids_out = [], [], []
             for i, text in enumerate(plain(batch, "text")):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
@@ -58,6 +55,16 @@ def pieces(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULARY, en
             columns = list(zip(*rows, strict=True)) or [()] * 4
             arrays = [plain(batch, "doc_id").take(pa.array(of, pa.int64())), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(ids_out, pa.list_(pa.int32()))] * with_ids, names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+        give_back()
+
+
+def pieces(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULARY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids. A null text is empty: one piece, the end id alone."""
+    kind = docs.schema["doc_id"].dataType
+    fields = "piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return encoded(batches, limit, vocabulary, end_id, with_ids)
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, {fields}")
 

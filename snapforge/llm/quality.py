@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapforge.llm.common import texts
+from snapforge.llm.common import give_back, texts
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -97,6 +97,7 @@ def measured(text: Column) -> Column:
     @F.arrow_udf("struct<" + ",".join(f"{m}:bigint" for m in MEASURES) + ">")
     def _measure(column: pa.Array) -> pa.Array:
         rows = np.array(list(map(measure, texts(column))), np.int64).reshape(-1, len(MEASURES))
+        give_back()
         return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x)) for x in rows.T], names=list(MEASURES))
 
     return _measure(text)

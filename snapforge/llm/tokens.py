@@ -7,7 +7,7 @@ the same ids; a text that holds a special token's string goes through the full f
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -24,7 +24,12 @@ class Encoder:
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.full = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        self.name = name
+
+    @cached_property
+    def full(self) -> Tokenizer:
+        """Loaded when a text first needs it: few do, and every worker would hold it."""
+        return Tokenizer.from_file(public_tokenizers.path(f"{self.name}.json"))
 
     def ids(self, text: str) -> np.ndarray:
         """Unsigned 32-bit ids, no special tokens added."""

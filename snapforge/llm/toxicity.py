@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapforge.llm.common import texts
+from snapforge.llm.common import give_back, parts, texts
 
 #: Hashed terms.
 SPACE = 1 << 20
@@ -115,6 +115,10 @@ class Model:
         at = np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum()))
         return sigmoid(margins(at, sizes, self.bias, self.linear, self.factors)[0])
 
+    def scores_of(self, column: pa.Array, slots: Slots) -> np.ndarray:
+        """Scores of a text column, a part at a time: a text's terms and their sums take many times its own memory."""
+        return np.concatenate([np.zeros(0), *(self.scores([slots.terms(x) for x in texts(part)]) for part in parts(column))])
+
 
 class Weights:
     """Linear weights by regularised dual averaging: each follows its mean slope so far, less the L1 penalty, at Adagrad's rate."""
@@ -238,8 +242,9 @@ def score(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("double")
     def _score(column: pa.Array) -> pa.Array:
-        terms = held.setdefault("slots", Slots(model.slots)).terms
-        return pa.array(model.scores([terms(x) for x in texts(column)]), pa.float64())
+        found = model.scores_of(column, held.setdefault("slots", Slots(model.slots)))
+        give_back()
+        return pa.array(found, pa.float64())
 
     return _score(text)
 

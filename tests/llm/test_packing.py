@@ -3,12 +3,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from snapforge.llm import packing, token_counts
-from snapforge.llm.tokens import encoder
+from snapforge.llm.common import give_back
+from snapforge.llm.tokens import Encoder, encoder
 
 
 @settings(max_examples=100, deadline=None)
@@ -105,3 +107,30 @@ def test_clashing_names_ties_and_long_texts(spark):
     histogram = token_counts.length_histogram(df)
     assert {r["n_docs"] for r in histogram.collect()} == {30, 1} and histogram.agg({"n_docs": "sum"}).first()[0] == 32
     assert token_counts.suffix_sums(token_counts.length_histogram(df.limit(0))).count() == 0
+
+
+def test_ids_leave_the_worker_by_parts():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200)), pa.array([None, "", *(f"text {i}" for i in range(1198))])], names=["doc_id", "text"])
+    out = list(packing.encoded([batch, batch.slice(0, 0)], with_ids=True))
+    assert [b.num_rows for b in out] == [500, 500, 200]
+    assert [i for b in out for i in b.column("doc_id").to_pylist()] == list(range(1200))
+    assert [x for b in out for x in b.column("ids").to_pylist()] == [[*encoder().ids(x or "").tolist(), 0] for x in batch.column("text").to_pylist()]
+
+
+def test_the_full_form_is_loaded_when_needed():
+    e = Encoder()
+    e.ids("plain")
+    assert "full" not in vars(e)
+    e.ids("a<|endoftext|>b")
+    assert "full" in vars(e)
+
+
+def test_freed_memory_goes_back_to_the_system():
+    with open("/proc/self/statm") as f:  # pages, the second field those in memory
+        held = lambda: f.seek(0) or int(f.read().split()[1]) * 4096
+        blocks = [np.ones(8000) for _ in range(1500)]  # 64 KB each, so from the heap
+        last = blocks.pop()  # above the others
+        del blocks
+        before = held()
+        give_back()
+        assert before - held() > 60e6 and last.all()

@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from snapforge.llm import toxicity
 
@@ -116,3 +118,23 @@ def test_on_the_tables(spark):
     out = toxicity.scored(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), labels).where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
     n = {(r["toxic"], r["predicted"]): r["count"] for r in out}
     assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.002 * n[0, 0]
+
+
+def test_scores_take_the_memory_of_a_part():
+    rng = np.random.default_rng(5)
+    column = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 1500, 120)) for _ in range(4000)] + [None, ""])
+    slots = np.unique([s for i in range(1500) for s in toxicity.slots_of(b"w%d" % i)])
+    model = toxicity.Model(-1.0, slots, rng.normal(size=len(slots)), rng.normal(size=(len(slots), 4)))
+    terms = toxicity.Slots(slots)
+    whole = model.scores([terms.terms(x or "") for x in column.to_pylist()])
+
+    def peak(n):
+        tracemalloc.start()
+        found = model.scores_of(column.slice(0, n), terms)
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert (found == whole[:n]).all()
+        return top
+
+    assert len(model.scores_of(column.slice(0, 0), terms)) == 0
+    assert peak(len(column)) < 1.5 * peak(500)
