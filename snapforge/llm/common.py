@@ -60,15 +60,32 @@ def shared_folder(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame, forget: bool = False) -> DataFrame:
     """df, computed once and kept in the folder that all executors share. A lost executor costs a reread of these files, not a rerun of what made them.
 
+    So the shuffles that made df are of no more use, and their files are deleted at once.
     The optimizer goes on knowing what holds for the rows and how they are dealt. In a loop of joins what it
     knows of each round multiplies, until planning takes longer than the work: `forget` drops it.
     """
     spark = df.sparkSession
     shared_folder(spark)
     kept = df.checkpoint(eager=True)
+    drop_shuffles(df)
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept._jdf.logicalPlan().rdd(), kept._jdf.schema(), False), spark) if forget else kept
 
 
+def drop_shuffles(df: DataFrame) -> None:
+    """Delete the shuffle files of df's run, which is over. Spark keeps them until the driver collects its garbage, and a driver with little to do rarely does.
+
+    Shuffles that miss parts are left to Spark: a side that an adaptive plan found needless may still be running. So are those of plans that aren't adaptive.
+    """
+    plan, sc = df._jdf.queryExecution().executedPlan(), df.sparkSession.sparkContext
+    if plan.getClass().getSimpleName() != "AdaptiveSparkPlanExec":
+        return
+    tracker = sc._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    for i in plan.context().shuffleIds():
+        missing = tracker.findMissingPartitions(i)
+        if missing.isDefined() and missing.get().isEmpty():
+            sc._jsc.sc().shuffleDriverComponents().removeShuffle(i, False)
+
+
 def release(*frames: DataFrame | None) -> None:
     """Delete the files of checkpointed frames that nothing reads any more."""
     for df in frames:

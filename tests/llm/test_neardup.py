@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -142,3 +143,31 @@ def test_the_largest_component_of_a_bucket_is_one_side_only(spark):
     assert sorted((r["key"], r["node"][0]) for r in out) == [(1, i) for i in range(60)] + [(3, 0), (3, 59)]  # 2 holds one component
     assert {r["node"][0] for r in out if r["key"] == 1 and not r["in_main"]} == {57, 58, 59} and {r["n_rest"] for r in out if r["key"] == 1} == {3}
     assert sum(not r["in_main"] for r in out if r["key"] == 3) == 1 and all(r["n_rest"] == 1 for r in out if r["key"] == 3)
+
+
+def test_shuffle_files_go_with_their_step(spark, monkeypatch):
+    """They would stay until the driver collects its garbage: here it can't, as the steps' frames are held."""
+    held, made, checkpointed = [], set(), neardup.checkpointed
+
+    def ids(df):
+        plan = df._jdf.queryExecution().executedPlan()
+        return set(plan.context().shuffleIds()) if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else set()
+
+    def left(of):
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return of & set(map(int, re.findall(r"/shuffle_(\d+)_", files)))
+
+    def seen(df, **how):
+        out = checkpointed(df, **how)
+        held.append(df)
+        made.update(ids(df))
+        return out
+
+    monkeypatch.setattr(neardup, "checkpointed", seen)
+    rows = corpus()
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 3, 85).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == sorted(groups(rows, 3, 85))
+    until = time.time() + 20
+    while left(made) and time.time() < until:
+        time.sleep(0.2)
+    assert len(made) >= 10 and not left(made), (len(made), left(made))
