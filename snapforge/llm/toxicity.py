@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapforge.llm.common import give_back, parts, texts
+from snapforge.llm.common import give_back, parts, texts, trim_driver
 
 #: Hashed terms.
 SPACE = 1 << 20
@@ -232,7 +232,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     kinds all scores are the same.
     """
     model = fit(*labelled_terms(docs, labels, label, max_rows))
-    pa.default_memory_pool().release_unused()
+    give_back()  # the driver's Python
+    trim_driver(docs.sparkSession)
     return model
 
 

@@ -2,7 +2,10 @@
 
 import hashlib
 import math
+import re
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +14,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from snapforge.llm import neardup, quality, toxicity
+from snapforge.llm import common, neardup, quality, toxicity
 from tests.llm.test_mixing import fill
 from tests.llm.test_neardup import sets_of
 from tests.llm.test_quality import brute
@@ -132,3 +135,33 @@ def test_representatives_are_those_of_the_operator(spark):
     """The stage keeps as many rows as op5's operator has kept components, ids being distinct."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     assert corpus_pipeline.drop_near_duplicates(spark, docs, DATA).count() == neardup.near_duplicates(docs, 5, 80).where("kept").count()
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_the_driver_gives_back_what_its_jvm_freed(spark, monkeypatch):
+    """Blocks freed between held ones stay with the C library until it is told to return them. A step's checkpoint does."""
+    monkeypatch.setattr(common, "_trimmed", -math.inf, raising=False)
+    jvm, size = spark._jvm, 96 << 10  # smaller than what is mapped by itself
+    field = jvm.java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    field.setAccessible(True)
+    unsafe = field.get(None)
+    maps = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps")
+
+    def resident(blocks):
+        """MB of the mappings that hold the blocks."""
+        mappings = re.findall(r"^([0-9a-f]+)-([0-9a-f]+) .*?^Rss:\s+(\d+) kB", maps.read_text(), re.M | re.S)
+        return sum(int(kb) for a, b, kb in mappings if any(int(a, 16) <= x < int(b, 16) for x in blocks)) / 1024
+
+    blocks = [unsafe.allocateMemory(size) for _ in range(600)]
+    for x in blocks:
+        unsafe.setMemory(x, size, 1)
+    held = blocks[::20]
+    for i, x in enumerate(blocks):
+        if i % 20:
+            unsafe.freeMemory(x)
+    before = resident(blocks)
+    assert common.checkpointed(spark.range(10)).count() == 10
+    after = resident(blocks)
+    for x in held:
+        unsafe.freeMemory(x)
+    assert before > 50 and after < before - 35, (before, after)

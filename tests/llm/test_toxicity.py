@@ -138,3 +138,11 @@ def test_scores_take_the_memory_of_a_part():
 
     assert len(model.scores_of(column.slice(0, 0), terms)) == 0
     assert peak(len(column)) < 1.5 * peak(500)
+
+
+def test_the_driver_gives_back_what_the_fit_took(spark, monkeypatch):
+    rows, calls = corpus(60), []
+    monkeypatch.setattr(toxicity, "give_back", lambda: calls.append("python"), raising=False)
+    monkeypatch.setattr(toxicity, "trim_driver", lambda session: calls.append("jvm"), raising=False)
+    toxicity.train(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert calls == ["python", "jvm"]
