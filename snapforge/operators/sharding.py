@@ -140,9 +140,20 @@ def resolve_num_shards(df: DataFrame, name: str = SHARD) -> int:
     return found["num_shards"]
 
 
+def few_groups(df: DataFrame, by: str, *made: Column) -> DataFrame:
+    """df.groupBy(by).agg(*made), where strings or bytes are among the least and greatest that are made.
+
+    Spark can't change those in place, and for them sorts all rows of a task by group. A set beside them
+    makes it hold each group's values as objects, in memory that grows with the groups instead. Over 128
+    groups in one task (spark.sql.objectHashAggregate.sortBased.fallbackThreshold) it sorts what is left.
+    """
+    return df.groupBy(by).agg(*made, F.collect_set(F.lit(True)).alias("_held")).where(F.size("_held") > 0).drop("_held")
+
+
 def shard_stats(df: DataFrame, key: str, name: str = SHARD) -> DataFrame:
     """Shard, row_count (input rows, repeated keys counted each), min_key and max_key. Combined before the shuffle."""
-    return df.groupBy(name).agg(F.count("*").alias("row_count"), F.min(key).alias("min_key"), F.max(key).alias("max_key"))
+    made = F.count("*").alias("row_count"), F.min(key).alias("min_key"), F.max(key).alias("max_key")
+    return few_groups(df, name, *made) if dict(df.dtypes)[key] in ("string", "binary") else df.groupBy(name).agg(*made)
 
 
 def all_shards(stats: DataFrame, num_shards: int, name: str = SHARD) -> DataFrame:

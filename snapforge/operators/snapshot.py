@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from snapforge.errors import ConfigError, ShardAssignmentError
 from snapforge.functions.keys import check_encoding, decode_key, encode_key
-from snapforge.operators.sharding import SHARD, ExpressionSharding, HashSharding, check_no_clash, infer_routing_values, last_write_wins, num_shards_for, resolve_num_shards, routing_agrees, with_shard_id
+from snapforge.operators.sharding import SHARD, ExpressionSharding, HashSharding, check_no_clash, few_groups, infer_routing_values, last_write_wins, num_shards_for, resolve_num_shards, routing_agrees, with_shard_id
 from snapforge.sources.manifest import Manifest, ManifestStore
 from snapforge.sources.runs import RunRegistry
 
@@ -112,8 +112,8 @@ def build_snapshot(
         raise
     written = df.sparkSession.read.schema(kept.select(*columns).schema).parquet(store.folder(run_id, "data"))
     kind = dict(df.dtypes)[key]
-    stats = written.groupBy(SHARD).agg(  # the input is not read again, unless its rows were reduced
-        F.count("*").alias("num_keys"), F.min("k").alias("_min"), F.max("k").alias("_max"), F.sum(F.length("k") + F.coalesce(F.length("v"), F.lit(0))).cast("long").alias("db_bytes")
+    stats = few_groups(  # the input is not read again, unless its rows were reduced
+        written, SHARD, F.count("*").alias("num_keys"), F.min("k").alias("_min"), F.max("k").alias("_max"), F.sum(F.length("k") + F.coalesce(F.length("v"), F.lit(0))).cast("long").alias("db_bytes")
     )
     stats = stats.join(made.groupBy(SHARD).agg(F.count("*").alias("row_count")), SHARD) if order else stats.withColumn("row_count", F.col("num_keys"))
     stats = stats.select(SHARD, "row_count", "num_keys", decode_key(F.col("_min"), key_encoding, kind).alias("min_key"), decode_key(F.col("_max"), key_encoding, kind).alias("max_key"), "db_bytes")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from snapforge.errors import ConfigError, ManifestError, ShardAssignmentError, StateError
 from snapforge.functions.vectors import metric_name
 from snapforge.operators import vectors
-from snapforge.operators.sharding import SHARD, ExpressionSharding, resolve_num_shards, with_shard_id
+from snapforge.operators.sharding import SHARD, ExpressionSharding, resolve_num_shards, shard_stats, with_shard_id
 from snapforge.operators.snapshot import BAD_SHARD, new_run_id
 from snapforge.sources.manifest import Manifest, ManifestStore
 
@@ -106,7 +106,7 @@ def build_vector_snapshot(df: DataFrame, root: str, id_column: str, vector_colum
         raise
     schemas = {"data": table.schema}
     written = df.sparkSession.read.schema(table.schema).parquet(store.folder(run_id, "data"))
-    stats = written.groupBy(SHARD).agg(F.count("*").alias("row_count"), F.min("vec_id").alias("min_key"), F.max("vec_id").alias("max_key"))
+    stats = shard_stats(written, "vec_id")
     stats.coalesce(1).write.parquet(store.folder(run_id, "shards"))  # a row for each shard
     schemas["shards"] = stats.schema
     if repeated := written.groupBy("vec_id").count().where("count > 1").limit(1).collect():  # across shards: an id's vectors may lie in several

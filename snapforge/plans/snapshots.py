@@ -11,7 +11,7 @@ from snapforge.errors import ConfigError, SnapshotError
 from snapforge.functions.keys import callable_value, json_value
 from snapforge.metrics import Recorder
 from snapforge.operators import lifecycle
-from snapforge.operators.sharding import SHARD, ExpressionSharding, HashSharding
+from snapforge.operators.sharding import SHARD, ExpressionSharding, HashSharding, few_groups
 from snapforge.operators.snapshot import build_snapshot
 from snapforge.operators.vector_snapshot import ColumnSharding, PlaneSharding, VectorSnapshot, build_vector_snapshot
 from snapforge.plans.catalog import EVERY, K, VECTORS, _distance_sql, _ranked_sql, _shared, query, table
@@ -215,7 +215,7 @@ def single_sorted_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _root(spark)
     build_snapshot(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), root, "o_orderkey", _text("o_orderstatus"), HashSharding(1), files_per_shard=4)
     rows = Snapshot(spark, root).kv.select("k", F.input_file_name().alias("file"))
-    spans = rows.groupBy("file").agg(F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"))  # a row for each file
+    spans = few_groups(rows, "file", F.count("*").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"))  # a row for each file
     before = F.lag("high").over(Window.orderBy("low"))
     return spans.select("n", (F.coalesce(before < F.col("low"), F.lit(True))).alias("ok")).agg(F.sum("n").alias("n"), F.bool_and("ok").alias("in_order"), F.count("*").cast("int").alias("files"))
 

@@ -216,6 +216,39 @@ def test_repeats_cost_no_shuffle(spark, tmp_path):
     assert ManifestStore(spark, str(tmp_path)).current() is None and ManifestStore(spark, str(tmp_path)).run_ids() == []
 
 
+def test_least_and_greatest_keys_cost_no_sort(spark, tmp_path):
+    import __spark_entry__
+    from snapforge.operators.vector_snapshot import ColumnSharding, build_vector_snapshot
+
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    before = store.executionsCount()
+    df = frame(spark).withColumn("s", (F.col("id") % 3).cast("int"))
+    build_snapshot(df, f"{tmp_path}/a", "id", F.encode("payload", "UTF-8"), HashSharding(1), files_per_shard=4)
+    build_snapshot(df, f"{tmp_path}/b", "payload", F.encode("grp", "UTF-8"), HashSharding(5), key_encoding="utf8")
+    build_vector_snapshot(df.withColumn("e", F.array(F.lit(1.0), F.col("id"))), f"{tmp_path}/c", "payload", "e", ColumnSharding(3, "s"))
+    assert __spark_entry__.queries()["single_sorted_shard"](spark, "/root/testdata/sf0.001").collect() == [(1500, True, 4)]
+    bus.waitUntilEmpty(30_000)
+    runs = store.executionsList(before, 1000)
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    assert any("ObjectHashAggregate" in x for x in plans) and not [x for x in plans if "SortAggregate" in x]
+    names = sorted((f"payload-{i}", shard_of(f"payload-{i}", 5)) for i in range(71))
+    shards = {r[SHARD]: (r["row_count"], r["min_key"], r["max_key"]) for r in Snapshot(spark, f"{tmp_path}/b").shards().collect() if r["row_count"]}
+    assert shards == {i: (len(x), x[0], x[-1]) for i in range(5) if (x := [name for name, j in names if j == i])}
+
+
+def test_few_groups(spark):
+    """As groupBy has them: null groups and values, no rows, more groups in a task than are held as objects."""
+    df = spark.range(3000).select(F.when(F.col("id") % 7 > 0, F.col("id") % 300).alias("g"), F.when(F.col("id") % 11 > 0, F.md5(F.col("id").cast("string"))).alias("s"))
+    df = df.withColumn("b", F.unhex("s"))
+    for rows in (df, df.limit(0), df.where("g IS NULL"), df.where("s IS NULL"), df.coalesce(1)):
+        made = [F.count("*").alias("n"), F.min("s"), F.max("s"), F.min("b"), F.max("b")]
+        got = sharding.few_groups(rows, "g", *made)
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.groupBy("g").agg(*made).collect()))
+        assert got.columns == rows.groupBy("g").agg(*made).columns
+    assert "Sort" not in sharding.shard_stats(df, "s", "g")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_leases(spark, tmp_path):
     import time
 
